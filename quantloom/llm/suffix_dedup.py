@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, prefix_hash, span_hash, strings, text_size
+from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, prefix_hash, span_hash, squeeze, strings, text_size, unsqueeze
 
 SPAN, GRAM = 50, 16
 _SLIDE = SPAN - GRAM + 1
@@ -39,6 +39,8 @@ _POS_BITS = 20
 _SEGMENT = 1 << _POS_BITS
 #: Leading tokens that the driver samples for the splitters (8 bytes each), from about so many documents.
 SAMPLE_DOCS, SAMPLE_KEYS = 2_000, 100_000
+#: Text that a task holds to deal it out compressed.
+DEAL_BYTES = 16 << 20
 _U = np.uint64
 
 
@@ -82,18 +84,76 @@ class Anchors:
 
     def context(self, which) -> np.ndarray:
         """The bytes around each anchor that its windows can reach."""
-        reach = self.at[which][:, None] + np.arange(-_LEFT, SPAN)
-        return np.ascontiguousarray(self.buf[np.clip(reach, 0, len(self.buf) - 1)]).view(f"V{_LEFT + SPAN}").reshape(-1)
+        step = np.arange(-_LEFT, SPAN)
+        rows = self.buf[np.clip(self.at[which][:, None] + step, 0, len(self.buf) - 1)]
+        rows[(step < -self.hi[which][:, None]) | (step >= SPAN - self.lo[which][:, None])] = 0  # no window holds these
+        return np.ascontiguousarray(rows).view(f"V{_LEFT + SPAN}").reshape(-1)
 
 
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in strings(batch.column("text"))]
 
 
-def _repeated(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, int]:
-    """(doc_id, blob): fingerprints of anchors that another document has too; and the bits cut off them."""
+def _bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a document's text, reports and verdicts meet."""
+    return (mix(ids.astype(np.int64).view(_U)) % _U(buckets)).astype(np.int32)
+
+
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal neighbours."""
+    if len(keys):
+        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        yield from zip(cut.tolist(), np.append(cut[1:], len(keys)).tolist(), strict=True)
+
+
+def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
+    """b, ids, sizes, texts: the documents by bucket, many in a row and compressed together."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            ids = np.array([k for k, _ in held], np.int64)
+            b = _bucket(ids, buckets)
+            order = np.argsort(b, kind="stable")
+            b, texts = b[order], [held[k][1] for k in order.tolist()]
+            rows = [(int(b[i]), squeeze(ids[order[i:j]]), squeeze(np.array([len(t) for t in texts[i:j]], np.int64)), squeeze(np.frombuffer(b"".join(texts[i:j]), np.uint8))) for i, j in _runs(b)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["b", "ids", "sizes", "texts"])
+
+        held, total = [], 0
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").to_pylist(), _bytes(batch), strict=True):
+                held.append((doc, text))
+                total += len(text) + 64
+                if total > DEAL_BYTES:
+                    yield flush(held)
+                    held, total = [], 0
+        if held:
+            yield flush(held)
+
+    return docs.mapInArrow(of, "b int, ids binary, sizes binary, texts binary")
+
+
+def _undealt(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Documents of a bucket again: ids and texts, a row at a time."""
+    for ids, sizes, texts in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "texts")), strict=True):
+        ends, raw = np.cumsum(unsqueeze(sizes)).tolist(), unsqueeze(texts).tobytes()
+        yield unsqueeze(ids), [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _by_document(blobs) -> dict[int, list[np.ndarray]]:
+    """Columns of packed (doc, ...) rows, by document."""
+    blobs = [*blobs]
+    if not blobs:
+        return {}
+    cols = join_packed(blobs)
+    order = np.argsort(cols[0], kind="stable")
+    cols = [c[order] for c in cols]
+    return {int(cols[0][i]): [c[i:j] for c in cols[1:]] for i, j in _runs(cols[0])}
+
+
+def _repeated(docs: DataFrame, n_bytes: int, buckets: int) -> tuple[DataFrame, int]:
+    """(b, blob): documents and fingerprints of anchors that another document has too; and the bits cut off them."""
     bits = min(64 - _POS_BITS, max(32, int(n_bytes).bit_length() + 4))
-    ranges = max(12, n_bytes // (64 << 20))
+    ranges = max(12, n_bytes // (16 << 20))
     shift = _U(64 - _POS_BITS - bits)
 
     def collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +195,13 @@ def _repeated(docs: DataFrame, n_bytes: int) -> tuple[DataFrame, int]:
             same = fp[1:] == fp[:-1]
             keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             fp, doc = fp[keep], doc[keep]
-        order = np.lexsort((fp, doc))
-        fp, doc = fp[order], doc[order]
-        cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
-        ends = np.append(cut, len(doc))[1:]
-        return frame({"doc_id": doc[cut], "blob": [fp[a:b].tobytes() for a, b in zip(cut, ends, strict=True)]}, ["doc_id", "blob"])
+        b = _bucket(doc, buckets)
+        order = np.lexsort((fp, doc, b))
+        fp, doc, b = fp[order], doc[order], b[order]
+        found = [(int(b[i]), pack(doc[i:j], fp[i:j])) for i, j in _runs(b)]
+        return frame({"b": [k for k, _ in found], "blob": [x for _, x in found]}, ["b", "blob"])
 
-    return docs.mapInArrow(collect, "r int, blob binary").groupBy("r").applyInPandas(meet, "doc_id long, blob binary"), int(shift)
+    return docs.mapInArrow(collect, "r int, blob binary").groupBy("r").applyInPandas(meet, "b int, blob binary"), int(shift)
 
 
 def _splitters(docs: DataFrame, n_docs: int, ranges: int) -> np.ndarray:
@@ -160,43 +220,41 @@ def _splitters(docs: DataFrame, n_docs: int, ranges: int) -> np.ndarray:
     return keys[np.arange(1, ranges) * len(keys) // ranges] if len(keys) else np.empty(0, _U)
 
 
-def _suffixes(docs: DataFrame, marked: DataFrame, shift: int, splitters: np.ndarray) -> DataFrame:
+def _suffixes(texts: DataFrame, marked: DataFrame, shift: int, splitters: np.ndarray) -> DataFrame:
     """Packed suffixes with their left context, by range of their leading token."""
 
-    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[tuple]) -> pa.RecordBatch:
-            key, ctx, doc, at, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
-            low, high = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
-            r = np.where(high - low > 1, low + 1 + mix(doc.astype(_U)).astype(np.int64) % np.maximum(1, high - low), high)
-            order = np.lexsort((key, r))
-            r, cols = r[order], [x[order] for x in (key, ctx, doc, at, lo, hi)]
-            cut = [*np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))).tolist(), len(r)]
-            return pa.RecordBatch.from_pydict({"r": pa.array(r[cut[:-1]].astype(np.int32)), "blob": pa.array([pack(*(x[a:b] for x in cols)) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
-
-        held: list[tuple] = []
-        total = 0
-        for batch in batches:
-            texts, ids, fps = _bytes(batch), batch.column("doc_id").to_numpy(), batch.column("fps").to_pylist()
+    def flush(held: list[tuple]) -> list[tuple[int, bytes]]:
+        key, ctx, doc, at, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+        low, high = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
+        r = np.where(high - low > 1, low + 1 + mix(doc.astype(_U)).astype(np.int64) % np.maximum(1, high - low), high)
+        order = np.lexsort((key, r))
+        r, cols = r[order], [x[order] for x in (key, ctx, doc, at, lo, hi)]
+        return [(int(r[i]), pack(*(x[i:j] for x in cols))) for i, j in _runs(r)]
+
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, held, rows, total = _by_document(right.column("blob").to_pylist()), [], [], 0
+        for ids, texts in _undealt(left):
             for part in chunks([len(t) for t in texts]):
                 a = Anchors(texts[part])
-                known = [np.frombuffer(b"".join(x), _U) for x in fps[part]]
-                first = np.searchsorted(a.owner, np.arange(len(known) + 1))
+                own = ids[part]
+                first = np.searchsorted(a.owner, np.arange(len(own) + 1))
                 keep = np.zeros(len(a.at), bool)
                 for k, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    keep[i:j] = np.isin(a.fp[i:j] >> _U(shift), known[k])
+                    if (fps := known.get(int(own[k]))) is not None:
+                        keep[i:j] = np.isin(a.fp[i:j] >> _U(shift), fps[0])
                 keep = np.flatnonzero(keep)
                 if len(keep):
                     owner = a.owner[keep]
-                    held.append((a.lead(keep), a.context(keep), ids[part][owner], a.at[keep] - a.begin[owner], a.lo[keep].astype(np.uint8), a.hi[keep].astype(np.uint8)))
+                    held.append((a.lead(keep), a.context(keep), own[owner], a.at[keep] - a.begin[owner], a.lo[keep].astype(np.uint8), a.hi[keep].astype(np.uint8)))
                     total += len(keep)
                 if total >= 150_000:
-                    yield flush(held)
+                    rows += flush(held)
                     held, total = [], 0
         if total:
-            yield flush(held)
+            rows += flush(held)
+        return pa.table({"r": pa.array([r for r, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
-    fps = marked.groupBy("doc_id").agg(F.collect_list("blob").alias("fps"))
-    return docs.join(fps, "doc_id").select("doc_id", "text", "fps").mapInArrow(of, "r int, blob binary")
+    return texts.groupBy("b").cogroup(marked.groupBy("b")).applyInArrow(of, "r int, blob binary")
 
 
 def multikey_sort(rows: np.ndarray) -> np.ndarray:
@@ -262,8 +320,8 @@ def decide(ctx: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return first, last, open_
 
 
-def _buckets(splitters: np.ndarray | None):
-    """Verdicts of a bucket (kind 0: a document's marked ranges), and what crosses its boundary (kind 1)."""
+def _buckets(splitters: np.ndarray | None, buckets: int):
+    """Verdicts of a bucket (kind 0: marked ranges by documents' buckets), and what crosses its boundary (kind 1)."""
     wide = np.unique(splitters[1:][splitters[1:] == splitters[:-1]]) if splitters is not None and len(splitters) else np.empty(0, _U)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -294,11 +352,15 @@ def _buckets(splitters: np.ndarray | None):
             d, s, e = (np.concatenate(x) for x in zip(*spans, strict=True))
             order = np.lexsort((s, d))
             d, s, e = d[order], s[order], e[order]
-            begin = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.empty(0, np.int64)
-            for a, b in zip(begin, np.append(begin, len(d))[1:], strict=True):
+            runs = [(d[i], *merged(s[i:j], e[i:j])) for i, j in _runs(d)]
+            d, s, e = (np.concatenate([np.full(len(x[1]), x[0]) if k == 0 else x[k] for x in runs] or [d]) for k in range(3))
+            b = _bucket(d, buckets)
+            order = np.argsort(b, kind="stable")
+            d, s, e, b = d[order], s[order], e[order], b[order]
+            for i, j in _runs(b):
                 kind.append(0)
-                ids.append(int(d[a]))
-                blobs.append(np.stack(merged(s[a:b], e[a:b])).tobytes())
+                ids.append(int(b[i]))
+                blobs.append(pack(d[i:j], s[i:j], e[i:j]))
         return frame({"kind": kind, "id": ids, "blob": blobs}, ["kind", "id", "blob"])
 
     return of
@@ -322,32 +384,36 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cross documents. Texts under 50 bytes stay. Rows of null doc_id stay as they are and remove
     nothing elsewhere. An empty table gives an empty table.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     n_docs, n_bytes = text_size(docs)
-    marked, shift = _repeated(named, n_bytes)
-    splitters = _splitters(named, n_docs, max(12, n_bytes // (48 << 20)))
+    buckets = int(max(12, n_bytes // (16 << 20)))
+    texts = _dealt(named, buckets)
+    marked, shift = _repeated(named, n_bytes, buckets)
+    splitters = _splitters(named, n_docs, max(12, n_bytes // (24 << 20)))
     rows = "kind int, id long, blob binary"
-    found = materialize(_suffixes(named, marked, shift, splitters).groupBy("r").applyInPandas(_buckets(splitters), rows), "repeats")
-    across = found.where("kind = 1").groupBy("id").applyInPandas(_buckets(None), rows)
-    spans = found.where("kind = 0").unionByName(across).groupBy(F.col("id").alias("doc_id")).agg(F.collect_list("blob").alias("found"))
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            texts, found = _bytes(batch), batch.column("found").to_pylist()
-            for part in chunks([len(t) for t in texts], 8 << 20):
-                runs, kept = [], []
-                for text, blobs in zip(texts[part], found[part], strict=True):
-                    if not blobs:
-                        runs.append([])
-                        kept.append(text)
-                        continue
-                    both = np.concatenate([np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs], axis=1)
-                    s, e = merged(*both[:, np.argsort(both[0], kind="stable")])
-                    runs.append([{"start": a, "end": b} for a, b in zip(s.tolist(), e.tolist(), strict=True)])
-                    kept.append(b"".join(text[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(text)], strict=True)))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(part.start, part.stop - part.start), "n_bytes": pa.array([len(t) for t in texts[part]], pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary())})
+    found = materialize(_suffixes(texts, marked, shift, splitters).groupBy("r").applyInPandas(_buckets(splitters, buckets), rows), "repeats")
+    across = found.where("kind = 1").groupBy("id").applyInPandas(_buckets(None, buckets), rows)
+    spans = found.where("kind = 0").unionByName(across).select(F.col("id").cast("int").alias("b"), "blob")
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, cols = _by_document(right.column("blob").to_pylist()), ([], [], [], [])
+        for ids, own in _undealt(left):
+            for doc, text in zip(ids.tolist(), own, strict=True):
+                runs, kept = [], text
+                if doc in known:
+                    s, e = known[doc]
+                    order = np.argsort(s, kind="stable")
+                    s, e = (x.tolist() for x in merged(s[order], e[order]))
+                    runs = [{"start": a, "end": b} for a, b in zip(s, e, strict=True)]
+                    kept = b"".join(text[a:b] for a, b in zip([0, *e], [*s, len(text)], strict=True))
+                for c, v in zip(cols, (doc, len(text), runs, kept), strict=True):
+                    c.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
 
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
-    return docs.join(spans, "doc_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "found").mapInArrow(cut, schema)
+    out = texts.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(cut, schema)
+    raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    unnamed = docs.where("doc_id is null").select("doc_id", F.length(raw).cast("long").alias("n_bytes"), F.array().cast(out.schema["spans"].dataType).alias("spans"), raw.alias("kept"))
+    return out.unionByName(unnamed)

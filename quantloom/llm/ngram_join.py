@@ -10,10 +10,11 @@ and ``c`` tokens among the first ``n - ceil(n*num/den) + c``.
 
 The common order puts frequent tokens last. Their counts come from a pass over every shingle of the
 corpus; how many of the most frequent ones are kept is bounded (``HOT_TOKENS``), which only affects
-speed. Within a list of many sets, each set is first held against the smallest one; what those
-links don't join is then held against each other, in blocks of bounded size, so that a group of
-near copies costs a link for each member and not one for each pair, and no link that would join
-two components is lost.
+speed. Within a list of many sets, each set is first held against the smallest one. What those
+links don't join is held against each other by bitmaps, which bound the overlap from above, in blocks
+of bounded size: first for as few pairs as could join the rest, then for all that are left between
+components. So a group of near copies costs a link for each member and not one for each pair, and no
+link that would join two components is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from quantloom.llm.components import components
 WORDS = 5
 #: At most so many frequent tokens are broadcast: 12 bytes each.
 HOT_TOKENS = 1 << 18
+#: Bits of a set's bitmap at most.
+BITMAP_MOST = 1 << 16
 #: Lists of up to so many sets are expanded into all their pairs at once.
 SMALL_LIST = 3
 #: A longer list is dealt to blocks of about so many sets.
@@ -145,8 +149,27 @@ def _lookup(hot: np.ndarray, counts: np.ndarray, bits: int, tokens: np.ndarray)
     return np.where(hot[at] == fp, counts[at], np.uint32(0))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Which low bits a set's tokens have, in some 4 to 8 bits for each token: two sets differ in a token for each bit of only one."""
+    size = min(BITMAP_MOST, max(64, 1 << (4 * len(s) - 1).bit_length()))
+    bits = np.zeros(size, bool)
+    bits[s & np.uint64(size - 1)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_common(n: int, bits: np.ndarray, others_n: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Upper bounds of the tokens that a set shares with others, from bitmaps of one width."""
+    ones = lambda x: np.bitwise_count(x.view(np.uint64)).sum(-1, dtype=np.int64)
+    return np.minimum(n - ones(bits & ~others), others_n - ones(others & ~bits))
+
+
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap (bytes) at a smaller width."""
+    return np.bitwise_or.reduce(bits.reshape(-1, width), axis=0)
+
+
 def _prefixes(docs: DataFrame, rule: _Rule, hot) -> DataFrame:
-    """doc_id, n, digest of the set, and its first tokens in the common order."""
+    """doc_id, n, digest of the set, its first tokens in the common order, and its bitmap."""
     import hashlib
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +177,10 @@ def _prefixes(docs: DataFrame, rule: _Rule, hot) -> DataFrame:
         for batch in batches:
             texts, ids = strings(batch.column("text")), batch.column("doc_id").to_pylist()
             for part in chunks([len(t) for t in texts], 4 << 20):
-                size, digest, blob = [], [], []
+                size, digest, blob, bits_ = [], [], [], []
                 for s in shingle_sets(texts[part]):
                     size.append(len(s))
+                    bits_.append(bitmap(s) if len(s) else None)
                     digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     if len(s):
                         freq = _lookup(fps, counts, bits, s)
@@ -164,9 +188,9 @@ def _prefixes(docs: DataFrame, rule: _Rule, hot) -> DataFrame:
                         blob.append(first[: rule.prefix(len(s), 2)].tobytes())
                     else:
                         blob.append(None)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[part], pa.int64()), "n": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "blob": pa.array(blob, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[part], pa.int64()), "n": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "blob": pa.array(blob, pa.binary()), "bits": pa.array(bits_, pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, digest binary, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, n long, digest binary, blob binary, bits binary")
 
 
 def _boundary(rule: _Rule, others: float) -> int:
@@ -263,27 +287,49 @@ def _candidates(rule: _Rule, hot):
     return of
 
 
-def _remaining(rule: _Rule):
-    """Pairs of a list's (block of) sets that no link has joined so far."""
+def _remaining(rule: _Rule, forest: bool):
+    """Pairs of a list's (block of) sets that no link has joined so far and whose bitmaps allow one.
+
+    ``forest``: only as many as would join the list's sets if all of them are links.
+    """
 
     def of(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(tables))
-        rep, info, comp, blk = (t.column(c).to_numpy() for c in ("x", "y", "component", "blk"))
+        rep, info, comp, blk = (t.column(c).to_numpy() for c in ("x", "info", "component", "blk"))
         low, high = key[1].as_py(), key[2].as_py()
-        _, comp, n = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(n) < 2:
+        _, comp, count = np.unique(comp, return_inverse=True, return_counts=True)
+        if len(count) < 2:
             return
-        order = np.lexsort((rep, -n[comp]))  # the largest component first: each pair is found from its later member
-        rep, info, comp, blk = rep[order], info[order], comp[order], blk[order]
+        order = np.lexsort((rep, -count[comp], info >> 2))
+        raw = t.column("bits").to_pylist()
+        rep, info, comp, blk, raw = rep[order], info[order], comp[order], blk[order], [raw[k] for k in order.tolist()]
+        n = info >> 2
+        width = np.array([len(x) for x in raw])
+        begin = np.searchsorted(n * rule.den, n * rule.num)  # the first that is large enough
+        narrow: dict[int, tuple[int, np.ndarray]] = {}
+        root = np.arange(len(count))
         xs, ys, held = [], [], 0
-        for i in range(int(n.max()), len(rep)):
-            ok = (comp[:i] != comp[i]) & _may(rule, rep[:i], info[:i], rep[i], info[i])
-            if low != high:
-                ok &= blk[:i] != blk[i]
-            if ok.any():
-                xs.append(np.minimum(rep[:i][ok], rep[i]))
-                ys.append(np.maximum(rep[:i][ok], rep[i]))
-                held += len(xs[-1])
+        for i in range(1, len(rep)):
+            a = int(begin[i])
+            own = root[comp[a:i]]
+            at = np.flatnonzero((own != root[comp[i]]) & _may(rule, rep[a:i], info[a:i], rep[i], info[i]) & ((blk[a:i] != blk[i]) | (low == high))) + a
+            if not len(at):
+                continue
+            w = int(width[at].min())  # sizes ascend, so a few widths only; all are brought to the narrowest
+            if w not in narrow or narrow[w][0] > at[0]:
+                narrow = {w: (int(at[0]), np.stack([fold(np.frombuffer(x, np.uint8), w) if len(x) > w else np.frombuffer(x, np.uint8) for x in raw[at[0] :]]))}
+            first, rows = narrow[w]
+            bound = most_common(int(n[i]), rows[i - first], n[at], rows[at - first])
+            at = at[bound * (rule.num + rule.den) >= rule.num * (n[at] + n[i])]
+            if forest and len(at):
+                _, k = np.unique(root[comp[at]], return_index=True)
+                at = at[k]
+                joined = np.append(root[comp[at]], root[comp[i]])
+                root[np.isin(root, joined)] = joined.min()
+            if len(at):
+                xs.append(np.minimum(rep[at], rep[i]))
+                ys.append(np.maximum(rep[at], rep[i]))
+                held += len(at)
             if held > 200_000:
                 yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
                 xs, ys, held = [], [], 0
@@ -293,51 +339,73 @@ def _remaining(rule: _Rule):
     return of
 
 
+def _open_lists(lists: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members, dealt to blocks, of the lists that hold sets of two components; one of lists with equal members."""
+    rows = lists.join(comp.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    stat = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("x", "info")).alias("s1"), F.sum(F.xxhash64("info", "x") % (1 << 32)).alias("s2"))
+    stat = stat.where("a < b").groupBy("m", "s1", "s2").agg(F.min("token").alias("token"))
+    parts = F.ceil(F.col("m") / BLOCK).cast("int")
+    return (
+        rows.join(stat.select("token", parts.alias("parts")), "token")
+        .join(reps.select(F.col("rep").alias("x"), "bits"), "x")
+        .withColumn("blk", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("token", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "x", "info", "component", "blk", "bits")
+    )
+
+
 BLOOM_BITS = 1 << 23
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Whole sets of (at least) the documents of ``pairs``; a bitmap of fixed size spares the others the work."""
-    spark = docs.sparkSession
+def _members(pairs: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size over hashed ids of one side of ``pairs``."""
 
-    def bitmap(batches):
+    def of(batches):
         bits = np.zeros(BLOOM_BITS, bool)
         for b in batches:
-            for c in ("x", "y"):
-                bits[mix(b.column(c).to_numpy().astype(np.uint64)) % np.uint64(BLOOM_BITS)] = True
+            bits[mix(b.column(column).to_numpy().astype(np.uint64)) % np.uint64(BLOOM_BITS)] = True
         yield pa.RecordBatch.from_pydict({"b": pa.array([squeeze(np.packbits(bits))], pa.binary())})
 
-    got = pairs.select("x", "y").coalesce(8).mapInArrow(bitmap, "b binary").toPandas()["b"]
     bits = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for b in got:
+    for b in pairs.select(column).coalesce(8).mapInArrow(of, "b binary").toPandas()["b"]:
         bits |= unsqueeze(b)
-    sent = spark.sparkContext.broadcast(bits)
+    return bits
+
+
+def _texts_of(docs: DataFrame, pairs: DataFrame, column: str, name: str) -> DataFrame:
+    """Compressed texts of (at least) the documents on one side of ``pairs``; the bitmap spares the others the way."""
+    sent = docs.sparkSession.sparkContext.broadcast(_members(pairs, column))
 
     def of(batches):
-        member = np.unpackbits(sent.value).astype(bool)
+        member, packer = np.unpackbits(sent.value).astype(bool), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             keep = member[mix(batch.column("doc_id").to_numpy().astype(np.uint64)) % np.uint64(BLOOM_BITS)]
             batch = batch.filter(pa.array(keep))
-            texts, ids = strings(batch.column("text")), batch.column("doc_id").to_pylist()
-            for part in chunks([len(t) for t in texts], 4 << 20):
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids[part], pa.int64()), "tokens": pa.array([s.tobytes() for s in shingle_sets(texts[part])], pa.binary())})
+            texts = [packer.compress(t.encode("utf-8", "surrogatepass")) for t in strings(batch.column("text"))]
+            yield pa.RecordBatch.from_pydict({column: batch.column("doc_id"), name: pa.array(texts, pa.binary())})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(of, "id long, tokens binary")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, f"{column} long, {name} binary")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, rule: _Rule) -> DataFrame:
-    """The pairs (x, y) that are links by their whole sets."""
+    """The pairs (x, y) that are links by their whole sets, worked out again from both texts."""
 
     def of(batches):
+        unpack_text = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            keep = [rule.links(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(b.column("s").to_pylist(), b.column("t").to_pylist(), strict=True)]
-            kept = b.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_pydict({"u": kept.column("x"), "v": kept.column("y")})
+            x, y, s, t = (b.column(c).to_pylist() for c in ("x", "y", "s", "t"))
+            u, v = [], []
+            for part in chunks([len(i) + len(j) for i, j in zip(s, t, strict=True)], 1 << 20):
+                raw = dict(zip(x[part], s[part], strict=True)) | dict(zip(y[part], t[part], strict=True))
+                own = dict(zip(raw, shingle_sets([unpack_text(r).decode("utf-8", "surrogatepass") for r in raw.values()]), strict=True))
+                for i, j in zip(x[part], y[part], strict=True):
+                    if rule.links(own[i], own[j]):
+                        u.append(i)
+                        v.append(j)
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    sets = _sets_of(docs, pairs)
-    left = sets.select(F.col("id").alias("x"), F.col("tokens").alias("s"))
-    right = sets.select(F.col("id").alias("y"), F.col("tokens").alias("t"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "s", "t").mapInArrow(of, "u long, v long")
+    left, right = _texts_of(docs, pairs, "x", "s"), _texts_of(docs, pairs, "y", "t")
+    return pairs.join(right, "y").join(left, "x").select("x", "y", "s", "t").mapInArrow(of, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -354,7 +422,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     fps, counts, bits, others = _frequent(docs, n_bytes)
     hot = spark.sparkContext.broadcast((fps, counts, bits))
     own = materialize(_prefixes(docs, rule, hot), "sets")
-    reps = own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("blob", "doc_id").alias("blob"))
+    reps = own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("blob", "doc_id").alias("blob"), F.min_by("bits", "doc_id").alias("bits"))
     light = _boundary(rule, others)
     ranges = max(12, n_bytes // (24 << 20))
     lists = _postings(reps.select("rep", "n", "blob"), rule, light, hot, ranges)
@@ -364,21 +432,15 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     links = materialize(_verified(docs, pairs, rule), "links")
     comp = components(links)
 
-    long = found.where("list").select("token", "x", "y").distinct()
-    many = long.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    dealt = (
-        long.join(comp.withColumnRenamed("node", "x"), "x", "left")
-        .withColumn("component", F.coalesce("component", "x"))
-        .join(many, "token")
-        .withColumn("parts", F.ceil(F.col("m") / BLOCK).cast("int"))
-        .withColumn("blk", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("token", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "x", "y", "component", "blk")
-    )
-    rest = materialize(dealt.groupBy("token", "lo", "hi").applyInArrow(_remaining(rule), "x long, y long").distinct().join(pairs, ["x", "y"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(_verified(docs, rest, rule))
-        comp = components(links)
+    lists = found.where("list").select("token", "x", F.col("y").alias("info"))
+    tried = pairs
+    for forest in (True, False):
+        todo = _open_lists(lists, comp, reps).groupBy("token", "lo", "hi").applyInArrow(_remaining(rule, forest), "x long, y long")
+        rest = materialize(todo.distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            tried = tried.unionByName(rest)
+            links = links.unionByName(materialize(_verified(docs, rest, rule), "links"))
+            comp = components(links)
 
     member = own.select("doc_id", "n", "digest")
     rep = reps.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))

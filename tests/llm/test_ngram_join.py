@@ -73,3 +73,14 @@ def test_prefixes_are_long_enough():
             need = -(-4 * (n + m) // 9)
             assert m - need + 1 <= rule.prefix(m) and n - need + 1 <= rule.index(n)
             assert n - need + 2 <= n - (-(-n * 4 // 5)) + 2
+
+
+def test_bitmaps_bound_the_overlap_from_above():
+    rng = np.random.default_rng(1)
+    for n, m, same in ((5, 6, 4), (30, 28, 25), (400, 380, 100), (40000, 38000, 36000)):
+        pool = rng.integers(0, 1 << 64, n + m - same, dtype=np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(pool[n - same :])
+        bx, by = (np.frombuffer(nj.bitmap(s), np.uint8) for s in (x, y))
+        w = min(len(bx), len(by))
+        bound = nj.most_common(len(x), nj.fold(bx, w), np.array([len(y)]), nj.fold(by, w)[None])[0]
+        assert len(np.intersect1d(x, y)) <= bound <= min(n, m)

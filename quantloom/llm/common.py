@@ -40,6 +40,11 @@ def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return row["n"], row["b"]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python workers a few megabytes of texts at a time instead of tens, in JVM and worker alike."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, whatever number of times the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

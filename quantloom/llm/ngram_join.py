@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, squeeze, strings, text_size, unsqueeze, words_of
+from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, small_batches, squeeze, strings, text_size, unsqueeze, words_of
 from quantloom.llm.components import components
 
 WORDS = 5
@@ -417,6 +417,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     a row of null doc_id has its text's component, null if no other row shares the set. An empty table gives an empty table.
     """
     rule, spark = _Rule(num, den), docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text")
     _, n_bytes = text_size(docs)
     fps, counts, bits, others = _frequent(docs, n_bytes)

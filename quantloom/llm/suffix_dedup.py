@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, prefix_hash, span_hash, squeeze, strings, text_size, unsqueeze
+from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, prefix_hash, small_batches, span_hash, squeeze, strings, text_size, unsqueeze
 
 SPAN, GRAM = 50, 16
 _SLIDE = SPAN - GRAM + 1
@@ -40,7 +40,7 @@ _SEGMENT = 1 << _POS_BITS
 #: Leading tokens that the driver samples for the splitters (8 bytes each), from about so many documents.
 SAMPLE_DOCS, SAMPLE_KEYS = 2_000, 100_000
 #: Text that a task holds to deal it out compressed.
-DEAL_BYTES = 16 << 20
+DEAL_BYTES = 8 << 20
 _U = np.uint64
 
 
@@ -384,6 +384,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cross documents. Texts under 50 bytes stay. Rows of null doc_id stay as they are and remove
     nothing elsewhere. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     n_docs, n_bytes = text_size(docs)

@@ -274,10 +274,10 @@ register_operator("CSRank", "cross", _cs_rank)
 register_operator("CSZScore", "cross", _cs_zscore)
 
 #: Operator subsets: what the search proposes, and what factor files may use.
-_NOT_IN_FILES = {"Sign", "CSRank", "Skew", "Kurt", "Rank"}
+_NOT_IN_FILES = {"Sign", "CSRank", "CSZScore", "Skew", "Kurt", "Rank"}
 PROFILES = {
     "all": lambda: set(REGISTRY),
-    "search": lambda: set(REGISTRY) - _NOT_IN_FILES - {"CSZScore"},
+    "search": lambda: set(REGISTRY) - _NOT_IN_FILES - {"Pow"},
     "factor_file": lambda: set(REGISTRY) - _NOT_IN_FILES,
 }
 

@@ -52,7 +52,7 @@ _KEY = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
 
 
 def r(sql: str, digits: int = 6, name: str = "value") -> str:
-    return f"round({sql}, {digits}) + 0.0 as {name}"
+    return f"round(cast({sql} as double), {digits}) + 0.0 as {name}"
 
 
 # --- weekly bars of unit prices by supplier nation: the main panel

@@ -28,12 +28,10 @@ def calendar(bars: DataFrame, fraction: float = 0.5, mode: str = "loader") -> Da
 def densify(bars: DataFrame, dates: DataFrame, fill: list[str] | None = None) -> DataFrame:
     """A row for every timestamp of ``dates`` and every symbol, ``fill`` columns carried forward (never back).
 
-    The grid is the result's own size; symbols (a dimension) are joined to it once.
+    The grid is the result's own size; the symbols, a dimension, are one row that each timestamp unfolds.
     """
-    symbols = bars.select("symbol").distinct()
-    grid = symbols.groupBy().agg(F.sort_array(F.collect_list("symbol")).alias("s"))
-    names = grid.first()["s"]
-    cells = dates.select("t", F.explode(F.array(*map(F.lit, names))).alias("symbol")) if names else dates.select("t").join(symbols.limit(0), F.lit(False))
+    symbols = bars.select("symbol").distinct().agg(F.sort_array(F.collect_list("symbol")).alias("s"))
+    cells = dates.select("t").crossJoin(F.broadcast(symbols)).select("t", F.explode("s").alias("symbol"))  # one row, the dimension
     joined = cells.join(bars, ["t", "symbol"], "left")
     fill = [c for c in bars.columns if c not in ("t", "symbol")] if fill is None else fill
     return joined.select("t", "symbol", *((forward_fill(F.col(c)) if c in fill else F.col(c)).alias(c) for c in bars.columns if c not in ("t", "symbol")))

@@ -339,7 +339,7 @@ def _remaining(rule: _Rule, forest: bool):
     return of
 
 
-def _open_lists(lists: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame:
+def _open_lists(lists: DataFrame, comp: DataFrame, own: DataFrame) -> DataFrame:
     """Members, dealt to blocks, of the lists that hold sets of two components; one of lists with equal members."""
     rows = lists.join(comp.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
     stat = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("x", "info")).alias("s1"), F.sum(F.xxhash64("info", "x") % (1 << 32)).alias("s2"))
@@ -347,7 +347,7 @@ def _open_lists(lists: DataFrame, comp: DataFrame, reps: DataFrame) -> DataFrame
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     return (
         rows.join(stat.select("token", parts.alias("parts")), "token")
-        .join(reps.select(F.col("rep").alias("x"), "bits"), "x")
+        .join(own.where("doc_id is not null").select(F.col("doc_id").alias("x"), "bits"), "x")
         .withColumn("blk", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("token", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "x", "info", "component", "blk", "bits")
@@ -423,7 +423,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     fps, counts, bits, others = _frequent(docs, n_bytes)
     hot = spark.sparkContext.broadcast((fps, counts, bits))
     own = materialize(_prefixes(docs, rule, hot), "sets")
-    reps = own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("blob", "doc_id").alias("blob"), F.min_by("bits", "doc_id").alias("bits"))
+    reps = own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("blob", "doc_id").alias("blob"))
     light = _boundary(rule, others)
     ranges = max(12, n_bytes // (24 << 20))
     lists = _postings(reps.select("rep", "n", "blob"), rule, light, hot, ranges)
@@ -436,7 +436,7 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     lists = found.where("list").select("token", "x", F.col("y").alias("info"))
     tried = pairs
     for forest in (True, False):
-        todo = _open_lists(lists, comp, reps).groupBy("token", "lo", "hi").applyInArrow(_remaining(rule, forest), "x long, y long")
+        todo = _open_lists(lists, comp, own).groupBy("token", "lo", "hi").applyInArrow(_remaining(rule, forest), "x long, y long")
         rest = materialize(todo.distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
         if not rest.isEmpty():
             tried = tried.unionByName(rest)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quantloom.llm import langid
 
@@ -47,3 +48,18 @@ def test_presence_equals_plain_ngrams():
     grams = lambda t: {t[i : i + n] for n in langid.GRAMS for i in range(len(t) - n + 1)}
     x = langid.presence(["abca", "BCAB!"])
     assert x[0] @ x[1] == len(grams(a) & grams(b)) and x[0].sum() == len(grams(a))
+
+
+UNLEARNED = ["прив етст вует мир", "ανθρ ωπος λογ", "qzx vkj xqw jjz", "日本語の文章です", "ñola ría çeua elq"]
+
+
+@pytest.mark.parametrize("langs", [["aa"], ["aa", "cc"], ["aa", "bb", "cc"]])
+def test_unlearned_languages_go_and_short_clean_texts_stay(spark, langs):
+    rng = random.Random(6)
+    rows = [(i, t, v, "s") for i, t, v, _ in corpus(400) if v in langs]
+    clean = [(1000 + k, w.title(), None, "s") for k, w in enumerate(w for v in langs for w in WORDS[v])]
+    clean += [(2000, "Ther whin " * 40 + "".join(WORDS[langs[-1]]) * 60, None, "s")]
+    other = [t for t in UNLEARNED if "bb" not in langs or "ñ" not in t]
+    strange = [(3000 + k, " ".join(rng.choices(t.split() if " " in t else [*t], k=30)), None, "s") for k, t in enumerate(other)]
+    docs = spark.createDataFrame([*rows, *clean, *strange], "doc_id long, text string, lang string, source string")
+    assert sorted(r.doc_id for r in langid.accept(docs).collect()) == [r[0] for r in [*rows, *clean]]

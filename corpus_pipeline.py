@@ -60,7 +60,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), special=True)
 
 
 STAGES = [

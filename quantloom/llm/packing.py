@@ -40,46 +40,53 @@ class Encoder:
     """Token ids of whole texts, as the ``tokenizers`` library gives them for a byte-level BPE file.
 
     The file's own pieces and merge order are handed to ``tiktoken``, which applies them several times
-    faster; probe texts must give the same ids in both libraries. Special tokens in a text are text.
+    faster; probe texts must give the same ids in both libraries. Special tokens in a text are text, or
+    with ``special`` one id each, as by the library's default; the library encodes the texts that have one.
     """
 
     PROBE = "The naïve  façade\n\n日本語 don't we'll 12345 #$%& <|endoftext|>\t end \U0001f600 "
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
+        library.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         raw = byte_of()
         ranks = {bytes(map(raw.__getitem__, t)): k for t, k in model["vocab"].items() if all(c in raw for c in t)}
-        special = {t.content.encode(): k for k, t in library.get_added_tokens_decoder().items()}
-        ranks = {t: k for t, k in ranks.items() if special.get(t) != k}
-        self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        for probe in (self.PROBE, *self.PROBE.split()):
+        added = {t.content.encode(): k for k, t in library.get_added_tokens_decoder().items()}
+        ranks = {t: k for t, k in ranks.items() if added.get(t) != k}
+        self.library, self.added = library, [t.decode() for t in added] if special else []
+        self.ordinary = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        for probe in (self.PROBE, self.PROBE.replace("<|endoftext|>", ""), *self.PROBE.split()):
             if self.encode(probe) != library.encode(probe, add_special_tokens=False).ids:
                 raise ValueError(f"{path} is no byte-level BPE with the usual pattern")
 
+    def encode(self, text: str) -> list[int]:
+        if any(t in text for t in self.added):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.ordinary(text)
+
     def __call__(self, text: str) -> np.ndarray:
         return np.array(self.encode(text), "<u4")
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special: bool = False) -> Encoder:
+    return Encoder(path, special)
 
 
-def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, special: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and a separator, cut only if longer than ``length``.
 
     Of a longer document the first piece takes the remainder, all others are full sequences.
     """
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special)
         for batch in batches:
             texts, owner = strings(batch.column("text")), batch.column("doc_id").to_pylist()
             for part in chunks([len(t) for t in texts], 8 << 20):
@@ -174,15 +181,16 @@ def _pack(length: int):
     return of
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, special: bool = False) -> DataFrame:
     """Pack all documents into as few sequences of at most ``length`` tokens as best-two-fit needs.
 
     Returns, for each piece, doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and
     empty texts are one separator; repeated rows are packed like any others; full pieces are their
-    own sequence. Columns other than doc_id and text are not looked at. An empty table gives an
+    own sequence. With ``special``, a special token's name in a text is that token, as by the
+    library's default; without, it is text. Columns other than doc_id and text are not looked at. An empty table gives an
     empty table.
     """
-    found = pieces(docs, tokenizer, length)
+    found = pieces(docs, tokenizer, length, special)
     groups = max(1, -(-docs.count() // GROUP))
     dealt = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quantloom.llm import packing
+import corpus_pipeline
+from quantloom.llm import packing, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -66,3 +67,16 @@ def test_pieces_are_whole_and_sequences_gapless(spark, monkeypatch, groups):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_queries_take_special_tokens_as_the_library_does(spark, tmp_path):
+    rows = [*enumerate(["a<|endoftext|> is", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n" * 1500, "<|endoftext |> é", "plain text", None])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tok = Tokenizer.from_file(PATH)
+    ids = {i: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in rows}
+    assert ids[1].tolist() == [50256, 0]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for out in (queries.op3_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        got = out.collect()
+        assert {i: sum(r.length for r in got if r.doc_id == i) for i in ids} == {i: len(x) for i, x in ids.items()}
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got)

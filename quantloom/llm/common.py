@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +21,32 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 CHUNK_BYTES = 1 << 20
 
 
+
+
+def _return_freed_memory() -> None:
+    """Make this process (driver or reused Python worker) give large freed buffers back to the system at once.
+
+    A worker serves many tasks of many stages; glibc and Arrow's pool would keep the largest stage's buffers.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed instead of growing
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
+_return_freed_memory()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is set (tests)."""
+    """A new path in the cluster's shared folder; a local one only on a local master where none is set (tests)."""
     base = spark.conf.get(CHECKPOINT_DIR, None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quantloom-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
+        base = tempfile.gettempdir() + "/quantloom"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -31,7 +54,36 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextmanager
+def session_settings(spark: SparkSession, **settings):
+    """Settings (``__`` for the dots) for the jobs run inside; the caller's are put back."""
+    named = {k.replace("__", "."): v for k, v in settings.items()}
+    old = {k: spark.conf.get(k, None) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Hand Python workers a few megabytes of texts at a time instead of tens, in JVM and worker alike."""
+    return session_settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows)
 
 
 def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
@@ -40,11 +92,6 @@ def text_size(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand Python workers a few megabytes of texts at a time instead of tens, in JVM and worker alike."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, whatever number of times the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -103,10 +150,12 @@ def join_packed(blobs) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True)]
 
 
-def by_range(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    """Bounds that split sorted ``bits``-wide keys into equal key ranges."""
-    edges = (np.arange(1, ranges, dtype=object) * (1 << bits)) // ranges
-    return np.searchsorted(keys, np.array([*edges], dtype=np.uint64))
+def by_range(keys: np.ndarray, ranges: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(range, begin, end) of the equal ranges of ``bits``-wide (at most 56) keys that sorted ``keys`` have any in."""
+    scaled = keys if bits <= 32 else keys >> np.uint64(bits - 32)
+    r = scaled * np.uint64(ranges) >> np.uint64(min(bits, 32))
+    at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.empty(0, np.int64)
+    yield from zip(r[at].tolist(), at.tolist(), np.append(at[1:], len(r)).tolist(), strict=True)
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

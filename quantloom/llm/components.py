@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize
+from quantloom.llm.common import discard, materialize
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: A node with more than a 100th of the edges' ends has its rows joined where they are; there are fewer than 100 such nodes.
+HUB_SHARE, HUB_LEAST = 100, 5_000
+
+
+def _joined(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """``edges`` with their node u's row of ``least`` (u, m, n): hubs' edges stay where they are, so no node's edges meet in one task."""
+    hubs = least.where(F.col("n") > max(HUB_LEAST, ends // HUB_SHARE)).select("u", "m")
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
+    return rest.unionByName(edges.join(F.broadcast(hubs), "u"))  # fewer than HUB_SHARE rows: each has more than a 100th of all ends
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _joined(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame, n: int) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _joined(e, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -27,18 +38,23 @@ def _mark(e: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of an edge table (u, v): the component's smallest node.
 
-    Every step keeps at most one row for each edge and meets in no single task; each round is
-    written to the shared folder, so a lost executor costs one round at most. Self-loops and
-    repeated edges do no harm; an empty table gives an empty table.
+    Every step keeps at most one row for each edge; aggregates combine before they are shuffled, and
+    the edges of a node with very many are joined in place. Each round is written to the shared folder
+    (the one before is deleted), so a lost executor costs one round at most. Self-loops and repeated
+    edges do no harm; an empty table gives an empty table. The result is a written table.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     e = materialize(e, "edges")
     before = _mark(e)
     while True:
-        e = materialize(_small_star(_large_star(e).distinct()).distinct(), "edges")
-        if (now := _mark(e)) == before:
+        starred = materialize(_large_star(e, before[0]).distinct(), "stars")
+        new = materialize(_small_star(starred, max(1, before[0])).distinct(), "edges")
+        now = _mark(new)
+        discard(starred, e)
+        e = new
+        if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    ).distinct()
+    out = materialize(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
+    discard(e)
+    return out

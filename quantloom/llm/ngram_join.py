@@ -11,15 +11,16 @@ and ``c`` tokens among the first ``n - ceil(n*num/den) + c``.
 The common order puts frequent tokens last. Their counts come from a pass over every shingle of the
 corpus; how many of the most frequent ones are kept is bounded (``HOT_TOKENS``), which only affects
 speed. Within a list of many sets, each set is first held against the smallest one. What those
-links don't join is held against each other by bitmaps, which bound the overlap from above, in blocks
-of bounded size: first for as few pairs as could join the rest, then for all that are left between
-components. So a group of near copies costs a link for each member and not one for each pair, and no
+links don't join is held against the rest by bitmaps, which bound the overlap from above, in cells
+of bounded size: all pairs that are left between components or, where these are many, first as few
+as could join the sets and then what is still left. So a group of near copies costs a link for each member and not one for each pair, and no
 link that would join two components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, small_batches, squeeze, strings, text_size, unsqueeze, words_of
+from quantloom.llm.common import by_range, chunks, discard, frame, join_packed, materialize, mix, pack, small_batches, squeeze, strings, text_size, unsqueeze, words_of
 from quantloom.llm.components import components
 
 WORDS = 5
@@ -39,7 +40,11 @@ BITMAP_MOST = 1 << 16
 #: Lists of up to so many sets are expanded into all their pairs at once.
 SMALL_LIST = 3
 #: A longer list is dealt to blocks of about so many sets.
-BLOCK = 20_000
+BLOCK = 4_000
+#: Pairs of one text side that one task verifies before the side is dealt to several.
+HOT_SIDE = 2_000
+#: Text whose tokens one task counts or lists at once, and tokens that a mapper holds before it sends them.
+RANGE_BYTES, FLUSH = 8 << 20, 1_000_000
 _PLACE = np.random.default_rng(11).integers(0, 1 << 64, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -99,14 +104,12 @@ class _Rule:
 def _frequent(docs: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray, int, float]:
     """Fingerprints and counts of frequent shingles, the fingerprint's width, the mean co-members of a token."""
     bits = min(56, max(32, int(n_bytes).bit_length() + 3))
-    ranges = max(12, n_bytes // (24 << 20))
-    keep = max(1, HOT_TOKENS // ranges)
+    ranges = max(12, n_bytes // RANGE_BYTES)
 
     def fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list[np.ndarray]) -> pa.RecordBatch:
             fp, n = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
-            cut = [0, *by_range(fp, ranges, bits).tolist(), len(fp)]
-            rows = [(r, pack(fp[a:b], n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            rows = [(r, pack(fp[a:b], n[a:b].astype(np.uint32))) for r, a, b in by_range(fp, ranges, bits)]
             return pa.RecordBatch.from_pydict({"r": pa.array([r for r, _ in rows], pa.int32()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
         held: list[np.ndarray] = []
@@ -116,7 +119,7 @@ def _frequent(docs: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray, in
             for part in chunks([len(t) for t in texts], 4 << 20):
                 held += shingle_sets(texts[part])
                 total += sum(map(len, held[-(part.stop - part.start) :]))
-                if total >= 2_000_000:
+                if total >= FLUSH:
                     yield flush(held)
                     held, total = [], 0
         if total:
@@ -129,13 +132,14 @@ def _frequent(docs: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray, in
         at = np.flatnonzero(np.concatenate(([True], fp[1:] != fp[:-1])))
         fp, n = fp[at], np.add.reduceat(n, at)
         top = np.flatnonzero(n >= 4)
-        top = top[np.argsort(-n[top], kind="stable")[:keep]]
+        top = top[np.argsort(-n[top], kind="stable")[:HOT_TOKENS]]
         cold = np.delete(n, top).astype(float)
         return frame({"fp": np.append(fp[top].astype(np.int64), [-1, -2]), "n": np.append(n[top].astype(float), [cold.sum(), (cold * cold).sum()])}, ["fp", "n"])
 
-    got = docs.select("text").mapInArrow(fingerprints, "r int, blob binary").groupBy("r").applyInPandas(count, "fp long, n double").toPandas()
-    stat = got[got.fp < 0].groupby("fp")["n"].sum()
-    got = got[got.fp >= 0].sort_values("fp")
+    counted = materialize(docs.select("text").mapInArrow(fingerprints, "r int, blob binary").groupBy("r").applyInPandas(count, "fp long, n double"), "counts")
+    got = counted.where("fp >= 0").orderBy(F.desc("n"), "fp").limit(HOT_TOKENS).toPandas().sort_values("fp")
+    stat = {r["fp"]: r["n"] for r in counted.where("fp < 0").groupBy("fp").agg(F.sum("n").alias("n")).collect()}
+    discard(counted)
     others = max(0.0, stat.get(-2, 0.0) / max(1.0, stat.get(-1, 0.0)) - 1)
     return got.fp.to_numpy(np.uint64), got.n.to_numpy(np.uint32), bits, others
 
@@ -238,7 +242,7 @@ def _postings(sets: DataFrame, rule: _Rule, light: int, hot, ranges: int) -> Dat
                     low, high = np.minimum(tokens[a], tokens[b]), np.maximum(tokens[a], tokens[b])
                     rows.append((mix(low * _PLACE[0] + high * _PLACE[1]), np.full(len(a), rep, np.int64), np.full(len(a), n * 4 + 3, np.int64)))
                 total += len(rows[-1][0])
-                if total >= 1_000_000:
+                if total >= FLUSH // 2:
                     yield flush(rows)
                     rows, total = [], 0
         if total:
@@ -287,71 +291,88 @@ def _candidates(rule: _Rule, hot):
     return of
 
 
-def _remaining(rule: _Rule, forest: bool):
-    """Pairs of a list's (block of) sets that no link has joined so far and whose bitmaps allow one.
+def _remaining(rule: _Rule, whole: bool):
+    """Pairs of a cell's outsiders (in a group's smaller components) and members that no link has joined so far and whose bitmaps allow one.
 
-    ``forest``: only as many as would join the list's sets if all of them are links.
+    A cell whose pairs are many gives only as many as would join its sets if all are links, and a row
+    of its center and null; ``whole``: it gives all of them.
     """
 
     def of(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(tables))
-        rep, info, comp, blk = (t.column(c).to_numpy() for c in ("x", "info", "component", "blk"))
-        low, high = key[1].as_py(), key[2].as_py()
-        _, comp, count = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(count) < 2:
-            return
-        order = np.lexsort((rep, -count[comp], info >> 2))
+        rep, info, comp, out = (t.column(c).to_numpy() for c in ("x", "info", "component", "outsider"))
         raw = t.column("bits").to_pylist()
-        rep, info, comp, blk, raw = rep[order], info[order], comp[order], blk[order], [raw[k] for k in order.tolist()]
-        n = info >> 2
-        width = np.array([len(x) for x in raw])
-        begin = np.searchsorted(n * rule.den, n * rule.num)  # the first that is large enough
-        narrow: dict[int, tuple[int, np.ndarray]] = {}
-        root = np.arange(len(count))
-        xs, ys, held = [], [], 0
-        for i in range(1, len(rep)):
-            a = int(begin[i])
-            own = root[comp[a:i]]
-            at = np.flatnonzero((own != root[comp[i]]) & _may(rule, rep[a:i], info[a:i], rep[i], info[i]) & ((blk[a:i] != blk[i]) | (low == high))) + a
+        _, comp = np.unique(comp, return_inverse=True)
+        root = np.arange(comp.max() + 1)
+        own, order = np.flatnonzero(out), np.flatnonzero(~out)
+        order = order[np.lexsort((rep[order], info[order] >> 2))]
+        size = info[order] >> 2
+        width = np.array([len(raw[k]) for k in order.tolist()])  # ascends with the size
+        least = np.searchsorted(size * rule.den, (info[own] >> 2) * rule.num)
+        most = np.searchsorted(size * rule.num, (info[own] >> 2) * rule.den, "right")
+        narrow: tuple[int, int, np.ndarray] = (0, 0, np.empty((0, 0), np.uint8))
+        span = 4 * -(-(rule.den**2) // rule.num**2)  # partners' widths are within this factor
+        limit = np.inf if whole else 1000 + 4 * len(rep)
+        xs, ys, held, total = [], [], 0, 0
+        for i, a, b in sorted(zip(own.tolist(), least.tolist(), most.tolist(), strict=True), key=lambda x: int(info[x[0]])):
+            if a >= b:
+                continue
+            k = order[a:b]
+            at = np.flatnonzero((root[comp[k]] != root[comp[i]]) & _may(rule, rep[k], info[k], rep[i], info[i])) + a
             if not len(at):
                 continue
-            w = int(width[at].min())  # sizes ascend, so a few widths only; all are brought to the narrowest
-            if w not in narrow or narrow[w][0] > at[0]:
-                narrow = {w: (int(at[0]), np.stack([fold(np.frombuffer(x, np.uint8), w) if len(x) > w else np.frombuffer(x, np.uint8) for x in raw[at[0] :]]))}
-            first, rows = narrow[w]
-            bound = most_common(int(n[i]), rows[i - first], n[at], rows[at - first])
-            at = at[bound * (rule.num + rule.den) >= rule.num * (n[at] + n[i])]
-            if forest and len(at):
-                _, k = np.unique(root[comp[at]], return_index=True)
-                at = at[k]
+            w = min(int(width[at[0]]), len(raw[i]))  # all are brought to the narrowest
+            first, last = int(np.searchsorted(width, w)), int(np.searchsorted(width, span * w, "right"))
+            if narrow[0] != w:
+                narrow = (w, first, np.stack([fold(np.frombuffer(raw[j], np.uint8), w) for j in order[first:last].tolist()]))
+            bits = fold(np.frombuffer(raw[i], np.uint8), w)
+            bound = most_common(int(info[i] >> 2), bits, size[at], narrow[2][at - first])
+            at = order[at[bound * (rule.num + rule.den) >= rule.num * (size[at] + (info[i] >> 2))]]
+            if total > limit and len(at):
+                _, j = np.unique(root[comp[at]], return_index=True)
+                at = at[j]
                 joined = np.append(root[comp[at]], root[comp[i]])
                 root[np.isin(root, joined)] = joined.min()
             if len(at):
                 xs.append(np.minimum(rep[at], rep[i]))
                 ys.append(np.maximum(rep[at], rep[i]))
-                held += len(at)
+                held, total = held + len(at), total + len(at)
             if held > 200_000:
                 yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
                 xs, ys, held = [], [], 0
         if held:
             yield pa.RecordBatch.from_pydict({"x": np.concatenate(xs), "y": np.concatenate(ys)})
+        if total > limit:
+            yield pa.RecordBatch.from_pydict({"x": pa.array([key[0].as_py()], pa.int64()), "y": pa.array([None], pa.int64())})
 
     return of
 
 
-def _open_lists(lists: DataFrame, comp: DataFrame, own: DataFrame) -> DataFrame:
-    """Members, dealt to blocks, of the lists that hold sets of two components; one of lists with equal members."""
+def _open_groups(lists: DataFrame, comp: DataFrame, own: DataFrame, centers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cells of the groups of lists that hold sets of two components, and the written table under them.
+
+    Lists with one smallest member (center) are one group, in which a set is once, with its bitmap. Two
+    sets of the group's largest component are joined already, so only the others (outsiders) are held
+    against all members: a cell is a part of the outsiders and a part of the members. A set of the
+    largest component is sent once for each part of the outsiders.
+    """
     rows = lists.join(comp.withColumnRenamed("node", "x"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    stat = rows.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("x", "info")).alias("s1"), F.sum(F.xxhash64("info", "x") % (1 << 32)).alias("s2"))
-    stat = stat.where("a < b").groupBy("m", "s1", "s2").agg(F.min("token").alias("token"))
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    return (
-        rows.join(stat.select("token", parts.alias("parts")), "token")
-        .join(own.where("doc_id is not null").select(F.col("doc_id").alias("x"), "bits"), "x")
-        .withColumn("blk", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("token", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "x", "info", "component", "blk", "bits")
-    )
+    open_ = rows.groupBy("token").agg(F.min("x").alias("center"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token", "center")
+    if centers is not None:
+        open_ = open_.join(centers, "center", "left_semi")
+    sets = rows.join(open_, "token").groupBy("center", "x").agg(F.bit_or("info").alias("info"), F.first("component").alias("component"))
+    sets = materialize(sets, "groups")
+    parts = sets.groupBy("center", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("center").agg(F.max_by("component", F.struct("m", "component")).alias("largest"), F.sum("m").alias("m"), F.max("m").alias("l"))
+    deal = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    parts = parts.select("center", "largest", deal(F.col("m")).alias("blocks"), deal(F.col("m") - F.col("l")).alias("chunks"))
+    cells = sets.join(parts, "center").join(own.where("doc_id is not null").select(F.col("doc_id").alias("x"), "bits"), "x")
+    place = lambda n: F.pmod(F.xxhash64("x"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda chunk, block, out: F.struct(chunk.alias("chunk"), block.alias("block"), F.lit(out).alias("outsider"))
+    member = F.transform(every(F.col("chunks")), lambda c: cell(c, place(F.col("blocks")), False))
+    outsider = F.transform(every(F.col("blocks")), lambda b: cell(place(F.col("chunks")), b, True))
+    both = F.when(F.col("component") == F.col("largest"), member).otherwise(F.concat(member, outsider))
+    return cells.withColumn("cell", F.explode(both)).select("center", "cell.chunk", "cell.block", "cell.outsider", "x", "info", "component", "bits"), sets
 
 
 BLOOM_BITS = 1 << 23
@@ -405,44 +426,62 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: _Rule) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     left, right = _texts_of(docs, pairs, "x", "s"), _texts_of(docs, pairs, "y", "t")
-    return pairs.join(right, "y").join(left, "x").select("x", "y", "s", "t").mapInArrow(of, "u long, v long")
+    hot = pairs.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SIDE).select("x", F.ceil(F.col("n") / HOT_SIDE).cast("int").alias("parts"))
+    one = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hot, "x", "left").select("x", "y", F.pmod(F.xxhash64("y"), one).cast("int").alias("part"))
+    left = left.join(hot, "x", "left").select("x", "s", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
+    return dealt.join(right, "y").join(left, ["x", "part"]).select("x", "y", "s", "t").mapInArrow(of, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """Components of the documents whose 5-word shingle sets have a Jaccard similarity of num/den or more.
 
-    ``docs`` needs doc_id (integers, distinct) and text; other columns are not looked at. Returns
-    doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own if none).
+    ``docs`` needs doc_id (integers) and text; other columns are not looked at. Returns, for each row,
+    doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own if none). Repeated
+    rows are repeated in the result; rows of one doc_id with different texts are judged by each text.
     Null texts and texts without words have 0 shingles and no links, copies are always linked, and
     a row of null doc_id has its text's component, null if no other row shares the set. An empty table gives an empty table.
     """
-    rule, spark = _Rule(num, den), docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs.select("doc_id", "text"), _Rule(num, den))
+
+
+def _near_duplicates(docs: DataFrame, rule: _Rule) -> DataFrame:
+    spark = docs.sparkSession
     _, n_bytes = text_size(docs)
     fps, counts, bits, others = _frequent(docs, n_bytes)
     hot = spark.sparkContext.broadcast((fps, counts, bits))
     own = materialize(_prefixes(docs, rule, hot), "sets")
     reps = own.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("blob", "doc_id").alias("blob"))
     light = _boundary(rule, others)
-    ranges = max(12, n_bytes // (24 << 20))
+    ranges = max(12, n_bytes // RANGE_BYTES)
     lists = _postings(reps.select("rep", "n", "blob"), rule, light, hot, ranges)
     found = materialize(lists.groupBy("r").applyInPandas(_candidates(rule, hot), "token long, x long, y long, list boolean"), "lists")
 
-    pairs = materialize(found.where("not list").select("x", "y").distinct(), "pairs")
-    links = materialize(_verified(docs, pairs, rule), "links")
-    comp = components(links)
+    tried = materialize(found.where("not list").select("x", "y").distinct(), "pairs")
+    links = [materialize(_verified(docs, tried, rule), "links")]
+    comp = components(links[0])
 
     lists = found.where("list").select("token", "x", F.col("y").alias("info"))
-    tried = pairs
-    for forest in (True, False):
-        todo = _open_lists(lists, comp, own).groupBy("token", "lo", "hi").applyInArrow(_remaining(rule, forest), "x long, y long")
-        rest = materialize(todo.distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+    done, centers = [found, tried], None
+    for whole in (False, True):
+        cells, sets = _open_groups(lists, comp, own, centers)
+        todo = cells.groupBy("center", "chunk", "block").applyInArrow(_remaining(rule, whole), "x long, y long")
+        todo = materialize(todo, "pairs")
+        rest = materialize(todo.where("y is not null").distinct().join(tried, ["x", "y"], "left_anti"), "pairs")
+        done += [sets, todo, rest]
         if not rest.isEmpty():
             tried = tried.unionByName(rest)
-            links = links.unionByName(materialize(_verified(docs, rest, rule), "links"))
-            comp = components(links)
+            links.append(materialize(_verified(docs, rest, rule), "links"))
+            discard(comp)
+            comp = components(reduce(DataFrame.unionByName, links))
+        centers = todo.where("y is null").select(F.col("x").alias("center")).distinct()
+        if centers.isEmpty():
+            break
+    discard(*done, *links)
+    hot.unpersist()
 
-    member = own.select("doc_id", "n", "digest")
+    member = own.where("n > 0").select("doc_id", "n", "digest")
     rep = reps.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return member.join(rep, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    joined = member.join(rep, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return joined.unionByName(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

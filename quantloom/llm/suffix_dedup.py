@@ -168,8 +168,7 @@ def _repeated(docs: DataFrame, n_bytes: int, buckets: int) -> tuple[DataFrame, i
             near = np.repeat(size > 1, size)  # known here already: one of them is enough for the others
             rows = [(-1 - int(fp[near][0] % _U(ranges)), pack(fp[near] >> shift, doc[near]))] if near.any() else []
             fp, doc = fp[first] >> shift, doc[first]
-            cut = [0, *by_range(fp, ranges, bits).tolist(), len(fp)]
-            rows += [(r, pack(fp[a:b], doc[a:b])) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            rows += [(r, pack(fp[a:b], doc[a:b])) for r, a, b in by_range(fp, ranges, bits)]
             return pa.RecordBatch.from_pydict({"r": pa.array([r for r, _ in rows], pa.int32()), "blob": pa.array([b for _, b in rows], pa.binary())})
 
         held: list[tuple] = []
@@ -384,7 +383,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cross documents. Texts under 50 bytes stay. Rows of null doc_id stay as they are and remove
     nothing elsewhere. An empty table gives an empty table.
     """
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _remove_repeats(docs)
+
+
+def _remove_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     n_docs, n_bytes = text_size(docs)

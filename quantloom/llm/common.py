@@ -67,6 +67,29 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: A key with more than a 100th of the rows is joined where its rows are; there are fewer than 100 such keys.
+HUB_SHARE, HUB_LEAST = 100, 5_000
+
+
+def join_hubs(left: DataFrame, right: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """Inner join with ``right``, one row for each key whose ``n`` says how many rows of ``left`` have it.
+
+    The rows of very frequent keys are not shuffled: no key's rows meet in one task. What is broadcast
+    has a proven bound, as fewer than ``HUB_SHARE`` keys can each have so large a share of ``total``
+    (the sum of n, if not given). ``right`` is read several times and should be a written table.
+    """
+    if total is None:
+        total = right.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hubs = right.where(F.col("n") > max(HUB_LEAST, total // HUB_SHARE))
+    rest = left.join(F.broadcast(hubs.select(*keys)), keys, "left_anti").join(right.drop("n"), keys)
+    return rest.unionByName(left.join(F.broadcast(hubs.drop("n")), keys))
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @contextmanager
 def session_settings(spark: SparkSession, **settings):
     """Settings (``__`` for the dots) for the jobs run inside; the caller's are put back."""

@@ -5,29 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import discard, materialize
-
-
-#: A node with more than a 100th of the edges' ends has its rows joined where they are; there are fewer than 100 such nodes.
-HUB_SHARE, HUB_LEAST = 100, 5_000
-
-
-def _joined(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
-    """``edges`` with their node u's row of ``least`` (u, m, n): hubs' edges stay where they are, so no node's edges meet in one task."""
-    hubs = least.where(F.col("n") > max(HUB_LEAST, ends // HUB_SHARE)).select("u", "m")
-    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.select("u", "m"), "u")
-    return rest.unionByName(edges.join(F.broadcast(hubs), "u"))  # fewer than HUB_SHARE rows: each has more than a 100th of all ends
+from quantloom.llm.common import discard, join_hubs, materialize
 
 
 def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return _joined(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return join_hubs(both, least, ["u"], 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame, n: int) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = _joined(e, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = join_hubs(e, least, ["u"], n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 

@@ -40,7 +40,7 @@ BITMAP_MOST = 1 << 16
 #: Lists of up to so many sets are expanded into all their pairs at once.
 SMALL_LIST = 3
 #: A longer list is dealt to blocks of about so many sets.
-BLOCK = 4_000
+BLOCK = 1_000
 #: Pairs of one text side that one task verifies before the side is dealt to several.
 HOT_SIDE = 2_000
 #: Text whose tokens one task counts or lists at once, and tokens that a mapper holds before it sends them.
@@ -137,11 +137,11 @@ def _frequent(docs: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray, in
         return frame({"fp": np.append(fp[top].astype(np.int64), [-1, -2]), "n": np.append(n[top].astype(float), [cold.sum(), (cold * cold).sum()])}, ["fp", "n"])
 
     counted = materialize(docs.select("text").mapInArrow(fingerprints, "r int, blob binary").groupBy("r").applyInPandas(count, "fp long, n double"), "counts")
-    got = counted.where("fp >= 0").orderBy(F.desc("n"), "fp").limit(HOT_TOKENS).toPandas().sort_values("fp")
+    got = counted.where("fp >= 0").orderBy(F.desc("n"), "fp").limit(HOT_TOKENS).toArrow().sort_by("fp")
     stat = {r["fp"]: r["n"] for r in counted.where("fp < 0").groupBy("fp").agg(F.sum("n").alias("n")).collect()}
     discard(counted)
     others = max(0.0, stat.get(-2, 0.0) / max(1.0, stat.get(-1, 0.0)) - 1)
-    return got.fp.to_numpy(np.uint64), got.n.to_numpy(np.uint32), bits, others
+    return got["fp"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.uint32), bits, others
 
 
 def _lookup(hot: np.ndarray, counts: np.ndarray, bits: int, tokens: np.ndarray) -> np.ndarray:
@@ -417,10 +417,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, rule: _Rule) -> DataFrame:
             x, y, s, t = (b.column(c).to_pylist() for c in ("x", "y", "s", "t"))
             u, v = [], []
             for part in chunks([len(i) + len(j) for i, j in zip(s, t, strict=True)], 1 << 20):
-                raw = dict(zip(x[part], s[part], strict=True)) | dict(zip(y[part], t[part], strict=True))
-                own = dict(zip(raw, shingle_sets([unpack_text(r).decode("utf-8", "surrogatepass") for r in raw.values()]), strict=True))
-                for i, j in zip(x[part], y[part], strict=True):
-                    if rule.links(own[i], own[j]):
+                raw = [*{*s[part], *t[part]}]
+                own = dict(zip(raw, shingle_sets([unpack_text(r).decode("utf-8", "surrogatepass") for r in raw]), strict=True))
+                for i, j, one, two in zip(x[part], y[part], s[part], t[part], strict=True):
+                    if rule.links(own[one], own[two]):
                         u.append(i)
                         v.append(j)
             yield pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
@@ -438,7 +438,8 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
 
     ``docs`` needs doc_id (integers) and text; other columns are not looked at. Returns, for each row,
     doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own if none). Repeated
-    rows are repeated in the result; rows of one doc_id with different texts are judged by each text.
+    rows are repeated in the result; rows of one doc_id with different texts are one document, linked if
+    any of its texts is, with the n_shingles of each.
     Null texts and texts without words have 0 shingles and no links, copies are always linked, and
     a row of null doc_id has its text's component, null if no other row shares the set. An empty table gives an empty table.
     """

@@ -84,3 +84,13 @@ def test_bitmaps_bound_the_overlap_from_above():
         w = min(len(bx), len(by))
         bound = nj.most_common(len(x), nj.fold(bx, w), np.array([len(y)]), nj.fold(by, w)[None])[0]
         assert len(np.intersect1d(x, y)) <= bound <= min(n, m)
+
+
+def test_repeated_rows_texts_of_one_id_and_caller_settings(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(9, a), (9, a), (9, b), (4, b + " end"), (11, a + " end"), (None, a), (None, None), (7, "")]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    got = sorted(map(tuple, nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(9, 36, 4), (9, 36, 4), (9, 36, 4), (4, 37, 4), (11, 37, 4), (None, 36, 4), (None, 0, None), (7, 0, 7)], key=str)
+    assert spark.conf.get(key) == before

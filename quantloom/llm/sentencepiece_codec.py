@@ -9,8 +9,15 @@ a piece are spelled in byte pieces.
 What the maximum is taken of depends on the model. Unigram: the sum of scores; ties go to the
 longer last piece. Merges (BPE): whether the last piece may follow the one before it. A sequence of
 pieces is the result of merging if and only if each piece and each two neighbours are the result of
-merging their own characters, so exactly one last piece of every prefix qualifies; which pairs do is
-worked out once for each pair and remembered. Sums of scores would give other ids than the library.
+merging their own characters, so exactly one last piece of every prefix qualifies. Whether two pieces
+stay side by side is worked out for arrays of pairs: both are taken apart, the later merge first,
+and at no time may the parts that meet merge before the part that holds them was made. Sums of scores
+would give other ids than the library.
+
+A very long word is cut into overlapping windows that advance together like words of one length. A
+window is right from where its last pieces agree with the window before it over as many places as the
+longest piece has characters, as all that follows depends on these only; a window that does not come
+to agree is searched again from the state of the one before.
 """
 
 from __future__ import annotations
@@ -29,9 +36,12 @@ from quantloom.llm.common import chunks, mix, strings
 MARK = "▁"
 #: What the library takes off the lowest score for a character without a piece.
 UNKNOWN_PENALTY = 10.0
-WORDS_KEPT = 200_000
+#: Distinct words that are remembered: those of the present batch and of batches before it, by turns.
+WORDS_KEPT = 150_000
 #: Places (words by length) that one search holds.
-CELLS = 1 << 17
+CELLS = 1 << 16
+#: Words over this length are cut into windows, which overlap by so many characters.
+WINDOW, OVERLAP = 2048, 128
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 #: Ids from here on are lone characters without a piece.
 _LONE = 1 << 24
@@ -79,80 +89,201 @@ class Codec:
         self.scores = np.array([s for _, _, s in plain])[order]
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY
         self.merges = proto.trainer_spec.model_type == pb.TrainerSpec.BPE
-        self.by_text = {p: s for _, p, s in plain}
-        self.text_of = {k: p for k, p, _ in plain}
-        self.follows: dict[int, bool] = {}
+        if self.merges:
+            self._learn_merges({p: k for k, p, _ in plain}, {p: s for _, p, s in plain}, len(pieces))
+        self.probe = np.zeros(1 << 20, bool)
+        self.probe[self.keys >> np.uint64(44)] = True
         self.byte = np.array([k for k, (_, _, t) in enumerate(pieces) if t == _BYTE], np.int32)
         self.surface = [b"" if t == _CONTROL else b" \xe2\x81\x87 " if t == _UNKNOWN else bytes([int(p[1:-1], 16)]) if t == _BYTE else p.replace(MARK, " ").encode() for p, _, t in pieces]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces by merging neighbours, the highest score first and the leftmost of equals."""
-        part = list(text)
-        while len(part) > 1:
-            found = [self.by_text.get(a + b, -np.inf) for a, b in zip(part[:-1], part[1:], strict=True)]
-            top = max(found)
-            if top == -np.inf:
-                break
-            k = found.index(top)
-            part[k : k + 2] = [part[k] + part[k + 1]]
-        return part
-
-    def _may_follow(self, key: int) -> bool:
-        """Whether two pieces stand side by side as they are; the first is -1 at a word's start."""
-        if (known := self.follows.get(key)) is None:
-            one, two = (key >> 32) - 1, key & 0xFFFFFFFF
-            name = lambda k: self.text_of[k] if k in self.text_of else chr(k - _LONE)
-            want = [name(two)] if one < 0 else [name(one), name(two)]
-            known = self.follows[key] = self.merge("".join(want)) == want
-        return known
+    def _learn_merges(self, ids: dict[str, int], score: dict[str, float], n: int) -> None:
+        """Which two parts make a piece and when, and the parts that each piece is made of when its characters alone are merged."""
+        lone = sorted({c for p in ids for c in p}.difference(ids))  # characters that are in pieces only: numbers after all ids
+        ids = ids | {c: n + 1 + k for k, c in enumerate(lone)}
+        self.nowhere, self.lone = n, np.array([ord(c) for c in lone], np.int64)
+        order = {s: k for k, s in enumerate(sorted({score[p] for p in score if len(p) > 1}, reverse=True))}
+        self.rank = np.full(n + 1 + len(lone), -1, np.int64)  # when a piece is made; -1: a character
+        self.left = self.right = np.zeros(0, np.int64)
+        left, right = np.zeros_like(self.rank), np.zeros_like(self.rank)
+        made: list[tuple[int, int, int]] = []
+        by_length: dict[int, list[tuple[int, int, int]]] = {}
+        for p in score:
+            if len(p) > 1:
+                self.rank[ids[p]] = order[score[p]]
+                parts = [(ids[p], ids[p[:k]], ids[p[k:]]) for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids]
+                made += parts
+                by_length.setdefault(len(p), []).extend(parts)
+        whole, one, two = np.array(made, np.int64).reshape(-1, 3).T
+        pair = one << 32 | two
+        order_ = np.argsort(pair)
+        self.pair, self.pair_rank = pair[order_], self.rank[whole][order_]
+        self.left, self.right = left, right
+        reached = self.rank < 0
+        for _, parts in sorted(by_length.items()):
+            whole, one, two = np.array(parts, np.int64).reshape(-1, 3).T
+            good = reached[one] & reached[two]
+            whole, one, two = whole[good], one[good], two[good]
+            good = self._apart(one, two, made=True)
+            left[whole[good]], right[whole[good]] = one[good], two[good]
+            reached[whole[good]] = True
+        keep = reached[self.ids]  # no merging of its own characters gives the others
+        self.keys, self.ids, self.scores = self.keys[keep], self.ids[keep], self.scores[keep]
+
+    def _number(self, piece: np.ndarray) -> np.ndarray:
+        """Pieces as numbers of the merge tables; a character that is in no piece is ``nowhere``."""
+        out = np.where(piece < _LONE, piece, self.nowhere)
+        if len(self.lone):
+            k = np.minimum(np.searchsorted(self.lone, piece - _LONE), len(self.lone) - 1)
+            out = np.where(self.lone[k] == piece - _LONE, self.nowhere + 1 + k, out)
+        return out
+
+    def _apart(self, one: np.ndarray, two: np.ndarray, made: bool = False) -> np.ndarray:
+        """Whether two pieces stay side by side when their characters are merged (``made``: but for their own merge)."""
+        out = np.ones(len(one), bool)
+        at, a, b, limit = np.arange(len(one)), one, two, np.full(len(one), np.iinfo(np.int64).max)
+        while len(at):
+            if not made:
+                pair = a << 32 | b
+                k = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1) if len(self.pair) else np.zeros(len(pair), np.int64)
+                bad = (self.pair[k] == pair) & (self.pair_rank[k] < limit) if len(self.pair) else np.zeros(len(pair), bool)
+                out[at[bad]] = False
+            else:
+                bad, made = np.zeros(len(at), bool), False
+            when_a, when_b = self.rank[a], self.rank[b]
+            more = ~bad & ((when_a >= 0) | (when_b >= 0))
+            at, a, b, when_a, when_b = (x[more] for x in (at, a, b, when_a, when_b))
+            first = when_a > when_b
+            limit = np.where(first, when_a, when_b + 1)  # of equal merges the left one is first
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return out
 
     def _search(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words of one length."""
-        codes = np.array([np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32) for w in words], np.uint64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(words), -1)
+        return self._ids(codes, *self._advance(codes))
+
+    def _advance(self, codes: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The last piece of each row's prefixes, and its length. ``start``: the last pieces (-1: none) that are known already."""
         m, length = codes.shape
-        most, row = min(self.longest, length), np.arange(m)
-        score, piece = np.full((most + 1, m, length), -np.inf), np.full((most + 1, m, length), -1, np.int64)
-        for n, h in _substrings(codes, most):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            score[n, :, : length - n + 1] = np.where(hit, self.scores[at], -np.inf)
-            piece[n, :, : length - n + 1] = np.where(hit, self.ids[at], -1)
-        lone = piece[1] < 0
-        score[1][lone] = self.unknown
-        piece[1][lone] = codes[lone].astype(np.int64) + _LONE
-        best, back, last = np.zeros((length + 1, m)), np.zeros((length + 1, m), np.int32), np.full((length + 1, m), -1, np.int64)
-        for end in range(1, length + 1):
-            sizes = np.arange(min(most, end), 0, -1)
-            own = piece[sizes, :, end - sizes]
+        found = []
+        for n, h in _substrings(codes, self.longest):
+            r, at = np.nonzero(self.probe[h >> np.uint64(44)])
+            key = h[r, at]
+            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[k] == key
+            found.append((at[hit] + n, r[hit], np.full(int(hit.sum()), n), self.ids[k[hit]].astype(np.int64), self.scores[k[hit]]))
+            if n == 1:
+                alone = np.ones((m, length), bool)
+                alone[r[hit], at[hit]] = False
+                r, at = np.nonzero(alone)
+                found.append((at + 1, r, np.ones(len(r), np.int64), codes[r, at].astype(np.int64) + _LONE, np.full(len(r), self.unknown)))
+        end, row, size, piece, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        row, size, piece, score = row[order], size[order], piece[order], score[order]
+        cut = np.searchsorted(end[order], np.arange(1, length + 2)).tolist()
+        last, back, best = np.full((length + 1, m), -1, np.int64), np.zeros((length + 1, m), np.int32), np.zeros((length + 1, m))
+        number = self._number(piece) if self.merges else piece
+        state = np.full((length + 1, m), -1, np.int64)
+        every = np.arange(m)
+        for e in range(1, length + 1):
+            a, b = cut[e - 1], cut[e]
+            r, n, p = row[a:b], size[a:b], piece[a:b]
+            value = np.full((self.longest + 1, m), -np.inf)
             if self.merges:
-                key = (last[end - sizes] + 1 << 32) | own
-                key[own < 0] = -1
-                distinct, which = np.unique(key, return_inverse=True)
-                found = np.array([k >= 0 and self._may_follow(k) for k in distinct.tolist()])[which.reshape(key.shape)]
+                before = state[e - n, r]
+                fits = (e == n) | (before >= 0)
+                ask = np.flatnonzero(before >= 0)
+                fits[ask] = self._apart(before[ask], number[a:b][ask])
+                value[self.longest - n[fits], r[fits]] = 0
             else:
-                found = best[end - sizes] + score[sizes, :, end - sizes]
-            k = found.argmax(0)
-            best[end], back[end], last[end] = found[k, row], sizes[k], own[k, row]
-        out = []
-        for row, word in enumerate(words):
-            ids, end = [], length
-            while end:
-                n = int(back[end, row])
-                end -= n
-                p = int(piece[n, row, end])
-                if p < _LONE:
-                    ids.append(p)
-                else:
-                    ids += self.byte[np.frombuffer(word[end].encode("utf-8", "surrogatepass"), np.uint8)].tolist()[::-1]
-            out.append(np.array(ids[::-1], "<i4"))
-        return out
+                value[self.longest - n, r] = best[e - n, r] + score[a:b]
+            top = value.argmax(0)  # of equals the longest
+            best[e], back[e] = value[top, every], self.longest - top
+            won = back[e, r] == n
+            last[e, r[won]] = p[won]
+            state[e, r[won]] = number[a:b][won]
+            if start is not None and e < start.shape[0]:
+                known = start[e] >= 0
+                last[e, known], state[e, known] = start[e, known], self._number(start[e, known])
+        return last, back
+
+    def _ids(self, codes: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
+        """Rows' ids, by the back pointers of all rows at once."""
+        m, length = codes.shape
+        out, at, rows = np.zeros((m, length), np.int64), np.full(m, length), np.arange(m)
+        width = np.zeros(m, np.int64)
+        while len(rows):
+            end = at[rows]
+            width[rows] += 1
+            out[rows, length - width[rows]] = last[end, rows]
+            at[rows] = end - back[end, rows]
+            rows = rows[at[rows] > 0]
+        alone = (out >= _LONE).any(1)
+        return [self._spelled(x[length - n :]) if lone else x[length - n :].astype("<i4") for x, n, lone in zip(out, width.tolist(), alone.tolist(), strict=True)]
+
+    def _spelled(self, pieces: np.ndarray) -> np.ndarray:
+        """Ids, with characters without a piece in byte pieces."""
+        parts: list[int] = []
+        for p in pieces.tolist():
+            parts += [p] if p < _LONE else self.byte[np.frombuffer(chr(p - _LONE).encode("utf-8", "surrogatepass"), np.uint8)].tolist()
+        return np.array(parts, "<i4")
+
+    def _search_long(self, word: str) -> np.ndarray:
+        """Ids of a very long word of a model of merges, window by window."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        parts, carry, done = [], None, 0  # carry: the last pieces of the places up to ``done``
+        lasts, backs = [], []
+        again: dict[bytes, tuple] = {}  # periodic text asks the same of window after window
+        step = WINDOW - OVERLAP
+        begins = [*range(0, max(1, len(codes) - OVERLAP), step)]
+        group = max(1, CELLS // WINDOW)
+        for g in range(0, len(begins), group):
+            own = begins[g : g + group]
+            full = [b for b in own if b + WINDOW <= len(codes)]
+            runs = [(full, WINDOW)] if full else []
+            runs += [([b], len(codes) - b) for b in own if b + WINDOW > len(codes)]
+            for starts, width in runs:
+                block = np.stack([codes[b : b + width] for b in starts])
+                last, back = self._advance(block)
+                for k, b in enumerate(starts):
+                    one, two = last[:, k], back[:, k]
+                    if b:
+                        seen = carry[-(done - b) - 1 :]  # states at places b to done
+                        same = one[: len(seen)] == seen
+                        run = np.convolve(same[1:], np.ones(self.longest, np.int64), "valid") == self.longest
+                        if not run.any():  # not yet alike: once more, from the state of the window before
+                            lead = np.concatenate(([-1], seen[1:]))[:, None]
+                            key = block[k].tobytes() + lead.tobytes()
+                            if key not in again:
+                                if len(again) > 2 * self.longest:
+                                    again.clear()
+                                x, y = self._advance(block[k : k + 1], lead)
+                                again[key] = x[:, 0], y[:, 0]
+                            one, two = again[key]
+                        one, two = one[len(seen) :], two[len(seen) :]
+                    else:
+                        one, two = one[1:], two[1:]
+                    lasts.append(one.astype(np.int32))
+                    backs.append(two.astype(np.int8 if self.longest < 128 else np.int32))
+                    done = b + width
+                    carry = np.concatenate(([-1], *lasts[-2:])) if len(lasts) > 1 else np.concatenate(([-1], one))
+        last, back = np.concatenate(lasts), np.concatenate(backs)
+        at = len(codes)
+        while at:
+            parts.append(int(last[at - 1]))
+            at -= int(back[at - 1])
+        return self._spelled(np.array(parts[::-1], np.int64))
 
     def learn(self, words: Iterable[str]) -> None:
         by_length: dict[int, list[str]] = {}
         for w in words:
-            by_length.setdefault(len(w), []).append(w)
+            if len(w) > WINDOW and self.merges:
+                self.known[w] = self._search_long(w).tobytes()
+            else:
+                by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
             step = max(1, CELLS // length)
             for a in range(0, len(group), step):
@@ -164,8 +295,11 @@ class Codec:
         """Ids of each text; an empty text has none."""
         words = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        self.learn({w for own in words for w in own}.difference(self.known))
+            self.known, self.older = {}, self.known
+        new = {w for own in words for w in own}.difference(self.known)
+        for w in new.intersection(self.older):
+            self.known[w] = self.older[w]
+        self.learn(new.difference(self.known))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<i4") for own in words]
 
     def decode(self, ids) -> str:

@@ -1,7 +1,7 @@
 """Best-fit packing of tokenized documents into sequences of bounded length.
 
 Documents are tokenized once, where they are; what is dealt out for packing is a few numbers for each
-piece. Pieces go to groups of about ``GROUP`` by hash, and each group is packed by itself by
+piece. Pieces go to groups of at most about ``GROUP`` by hash (their number is bounded by the bytes), and each group is packed by itself by
 best-two-fit: bins are filled greedily with the longest piece that fits, then a bin's smallest piece
 is replaced with two unpacked pieces that fit the expanded gap more tightly. A group of that many
 pieces leaves at most a few bins unfilled, so the number of groups costs next to nothing.
@@ -10,23 +10,26 @@ pieces leaves at most a few bins unfilled, so the number of groups costs next to
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import chunks, frame, strings
+from quantloom.llm.common import chunks, strings, text_size
 
 LENGTH = 2048
 SEPARATOR = 0
 #: Pieces that one task packs (about as many; a group holds three numbers for each).
 GROUP = 100_000
+#: ``tiktoken``'s pattern recurses over a run of white space; texts with a longer one go to ``tokenizers``.
+SPACES = 20_000
+_LONG_RUN = re.compile(rf"\s{{{SPACES}}}")
 
 
 def byte_of() -> dict[str, int]:
@@ -40,7 +43,8 @@ class Encoder:
     """Token ids of whole texts, as the ``tokenizers`` library gives them for a byte-level BPE file.
 
     The file's own pieces and merge order are handed to ``tiktoken``, which applies them several times
-    faster; probe texts must give the same ids in both libraries. Special tokens in a text are text, or
+    faster; probe texts must give the same ids in both libraries. Texts with very long runs of white space,
+    which it can't take, are encoded by the library itself. Special tokens in a text are text, or
     with ``special`` one id each, as by the library's default; the library encodes the texts that have one.
     """
 
@@ -66,7 +70,7 @@ class Encoder:
                 raise ValueError(f"{path} is no byte-level BPE with the usual pattern")
 
     def encode(self, text: str) -> list[int]:
-        if any(t in text for t in self.added):
+        if any(t in text for t in self.added) or (len(text) >= SPACES and _LONG_RUN.search(text)):
             return self.library.encode(text, add_special_tokens=False).ids
         return self.ordinary(text)
 
@@ -165,18 +169,15 @@ def best_two_fit(lengths: np.ndarray, limit: int) -> list[list[int]]:
 
 
 def _pack(length: int):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], kind="stable", ascending=[False, True, True]).reset_index(drop=True)
-        size = pdf["length"].to_numpy()
-        bins = best_two_fit(size, length)
+    def of(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        bins = best_two_fit(own.column("length").to_numpy(), length)
         flat = np.array([x for b in bins for x in b], np.int64)
         seq = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-        at = np.concatenate([np.cumsum([0, *b[:-1]]) for b in bins])
+        at = np.concatenate([np.cumsum([0, *b[:-1]]) for b in bins]).astype(np.int64)
         order = np.argsort(-flat, kind="stable")  # pieces of one length are alike: any takes any place
-        out = pdf.drop(columns="part")
-        out["sequence_id"] = pdf["part"].to_numpy(np.int64) * (1 << 32) + seq[order]
-        out["offset"] = at[order].astype(np.int64)
-        return frame(dict(out.items()), [*out.columns])
+        first = own.column("part")[0].as_py() << 32
+        return own.drop_columns(["part"]).append_column("sequence_id", pa.array(first + seq[order])).append_column("offset", pa.array(at[order]))
 
     return of
 
@@ -185,13 +186,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, specia
     """Pack all documents into as few sequences of at most ``length`` tokens as best-two-fit needs.
 
     Returns, for each piece, doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null and
-    empty texts are one separator; repeated rows are packed like any others; full pieces are their
-    own sequence. With ``special``, a special token's name in a text is that token, as by the
-    library's default; without, it is text. Columns other than doc_id and text are not looked at. An empty table gives an
-    empty table.
+    empty texts are one separator; repeated rows and rows of null doc_id are packed like any others
+    (a null doc_id stays null); full pieces are their own sequence. With ``special``, a special token's
+    name in a text is that token, as by the library's default; without, it is text. Columns other than
+    doc_id and text are not looked at. An empty table gives an empty table.
     """
     found = pieces(docs, tokenizer, length, special)
-    groups = max(1, -(-docs.count() // GROUP))
-    dealt = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    n, n_bytes = text_size(docs)
+    groups = max(1, -(-(n + n_bytes // length) // GROUP))  # a text has no more tokens than bytes
+    dealt = found.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)))
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("part").applyInPandas(_pack(length), kind)
+    return dealt.groupBy("part").applyInArrow(_pack(length), kind)

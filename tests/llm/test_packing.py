@@ -80,3 +80,19 @@ def test_queries_take_special_tokens_as_the_library_does(spark, tmp_path):
         got = out.collect()
         assert {i: sum(r.length for r in got if r.doc_id == i) for i in ids} == {i: len(x) for i, x in ids.items()}
         assert all(r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) for r in got)
+
+
+def test_long_white_space_and_large_or_missing_ids(spark):
+    big = (1 << 53) + 1
+    rows = [(big, "\n" * 2_000_000), (None, " " * 2_000_000 + "x"), (None, None), (7, "a" * 100_000), (7, "twice"), (7, "twice")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    tok = Tokenizer.from_file(PATH)
+    want = defaultdict(int)
+    for i, t in rows:
+        want[i] += len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    have = defaultdict(int)
+    for r in got:
+        have[r.doc_id] += r.length
+    assert have == want
+    whole = np.array([*tok.encode(rows[0][1], add_special_tokens=False).ids, 0], "<u4")
+    assert all(r.ids_crc32 == zlib.crc32(whole[r.start : r.start + r.length].tobytes()) for r in got if r.doc_id == big)

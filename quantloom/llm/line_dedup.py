@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import let, materialize
+from quantloom.llm.common import join_hubs, let, materialize, quoted
 
 SPACES = " \t\n\x0b\f\r"
 #: A repeated run counts from so many words on.
@@ -35,7 +35,7 @@ def _reach(words: Column, k: Column, step: int, least: int) -> Column:
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, k (its place among the document's lines with a word), no, a and b (128 bits of hash), ahead, back."""
+    """doc, k (its place among the document's lines with a word), no, a and b (128 bits of hash), ahead, back."""
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("line")))
     kept = F.filter(numbered, lambda x: F.btrim(x["line"], F.lit(SPACES)) != "")
     count = lambda line: F.least(F.lit(least), F.size(F.filter(F.split(line, r"[\x20\x09-\x0D]+", least + 2), lambda w: w != "")))
@@ -53,54 +53,77 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
             ),
         )
 
-    return docs.where("doc_id is not null").select("doc_id", F.explode(let(kept, rows)).alias("x")).select("doc_id", "x.*")
+    return docs.where("doc_id is not null").select(_document(), F.explode(let(kept, rows)).alias("x")).select("doc", "x.*")
+
+
+def _document() -> Column:
+    """What tells documents apart and orders them: the doc_id, then the text (so repeated rows are one document)."""
+    return F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc")
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys occur twice or more, with ``first``: the smallest (doc_id, k) that has them."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return rows.join(first.drop("copies"), keys)
+    """Rows whose keys occur at two places or more, with ``first``: the smallest (doc, k) that has them."""
+    place = F.struct("doc", "k")
+    first = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last")
+    return join_hubs(rows, materialize(first.drop("last"), "first"), keys)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, no: the lines that lie in a run of consecutive lines, of ``min_words`` words or more, that also starts earlier."""
-    levels = [materialize(_named(_lines(docs, min_words), ["a", "b"]).select("doc_id", "k", "no", "ahead", "back", "first"), "lines")]
+    """doc, no: the lines that lie in a run of consecutive lines, of ``min_words`` words or more, that also starts earlier."""
+    levels = [materialize(_named(_lines(docs, min_words), ["a", "b"]).select("doc", "k", "no", "ahead", "back", "first").distinct(), "lines")]
     while 1 << len(levels) <= min_words:
-        beside = Window.partitionBy("doc_id").orderBy("k").rangeBetween(1 << (len(levels) - 1), 1 << (len(levels) - 1))
-        pairs = levels[-1].select("doc_id", "k", "first", F.first("first").over(beside).alias("second")).where("second is not null")
-        levels.append(materialize(_named(pairs.withColumnRenamed("first", "one"), ["one", "second"]).select("doc_id", "k", "first"), "lines"))
-
-    later = F.col("first") != F.struct("doc_id", "k")
-    single = levels[0].where((F.col("ahead") == 1) & later).select("doc_id", "k", F.col("k").alias("last"))
-    ahead = levels[0].select("doc_id", "k", F.col("ahead").alias("n"))
-    back = levels[0].select("doc_id", (F.col("k") - F.col("back") + 1).alias("k"), F.col("back").alias("n"))
+        beside = Window.partitionBy("doc").orderBy("k").rangeBetween(1 << (len(levels) - 1), 1 << (len(levels) - 1))
+        pairs = levels[-1].select("doc", "k", "first", F.first("first").over(beside).alias("second")).where("second is not null")
+        pairs = materialize(pairs.withColumnRenamed("first", "one"), "pairs")
+        levels.append(materialize(_named(pairs, ["one", "second"]).select("doc", "k", "first"), "lines"))
+
+    later = F.col("first") != F.struct("doc", "k")
+    single = levels[0].where((F.col("ahead") == 1) & later).select("doc", "k", F.col("k").alias("last"))
+    ahead = levels[0].select("doc", "k", F.col("ahead").alias("n"))
+    back = levels[0].select("doc", (F.col("k") - F.col("back") + 1).alias("k"), F.col("back").alias("n"))
     runs = ahead.unionByName(back).where("n > 1").distinct().withColumn("j", F.floor(F.log2("n")).cast("int"))
     ranks = None
     for j, level in enumerate(levels):
-        own = level.select("doc_id", "k", F.col("first").alias("rank"), F.lit(j).alias("j"))
+        own = level.select("doc", "k", F.col("first").alias("rank"), F.lit(j).alias("j"))
         ranks = own if ranks is None else ranks.unionByName(own)
     tail = (F.col("k") + F.col("n") - F.expr("shiftleft(1, j)")).cast("int")
-    runs = runs.join(ranks.withColumnRenamed("rank", "one"), ["doc_id", "k", "j"])
-    runs = runs.withColumn("tail", tail).join(ranks.select("doc_id", F.col("k").alias("tail"), "j", F.col("rank").alias("two")), ["doc_id", "tail", "j"])
-    longer = _named(runs.select("doc_id", "k", "n", "one", "two"), ["n", "one", "two"]).where(later).select("doc_id", "k", (F.col("k") + F.col("n") - 1).alias("last"))
-    covered = single.unionByName(longer).select("doc_id", F.explode(F.sequence("k", "last")).alias("k")).distinct()
-    return covered.join(levels[0].select("doc_id", "k", "no"), ["doc_id", "k"]).select("doc_id", "no")
+    runs = runs.join(ranks.withColumnRenamed("rank", "one"), ["doc", "k", "j"])
+    runs = runs.withColumn("tail", tail).join(ranks.select("doc", F.col("k").alias("tail"), "j", F.col("rank").alias("two")), ["doc", "tail", "j"])
+    runs = materialize(runs.select("doc", "k", F.col("n").alias("size"), "one", "two"), "runs")
+    longer = _named(runs, ["size", "one", "two"]).where(later).select("doc", "k", (F.col("k") + F.col("size") - 1).alias("last"))
+    covered = single.unionByName(longer).select("doc", F.explode(F.sequence("k", "last")).alias("k")).distinct()
+    return covered.join(levels[0].select("doc", "k", "no"), ["doc", "k"]).select("doc", "no")
 
 
-def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents without later copies of repeated runs of lines; all columns, and n_deleted after them.
-
-    Lines are split at \\n and compared whole; order is that of doc_id (integers, distinct) and line.
-    A run is of consecutive lines, lines without a word not counted (these stay); it counts from
-    ``min_words`` words on and may overlap its copy. Null texts stay null, a text that loses all its
-    lines is empty. Rows of null doc_id stay as they are. An empty table gives an empty table.
-    """
+def _deleted(docs: DataFrame, min_words: int) -> DataFrame:
+    """row (all columns as they were), text without later copies, n (lines deleted)."""
     gone = repeated_lines(docs.select("doc_id", "text"), min_words)
-    places = gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("no")).alias("p"))
+    places = gone.groupBy("doc").agg(F.array_sort(F.collect_list("no")).alias("p"))
     marks = F.array_join(F.transform("p", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i == 0, -1).otherwise(F.get("p", i - 1)) - 1), F.lit("1"))), "")
-    marks = places.select("doc_id", marks.cast("binary").alias("marks"), F.size("p").cast("long").alias("n"))
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    marks = places.select("doc", marks.cast("binary").alias("marks"), F.size("p").cast("long").alias("n"))
+    rows = docs.select(_document(), F.struct(*map(quoted, docs.columns)).alias("row"))
     keep = lambda x, i: F.substring("marks", i + 1, F.lit(1)) != F.lit(b"1")
     text = F.when(F.col("marks").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), keep), "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    return rows.join(marks, "doc_id", "left").select(*columns, F.coalesce("n", F.lit(0)).alias("n_deleted"))
+    return rows.join(marks, "doc", "left").select("row", text.alias("text"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents without later copies of repeated runs of lines; all columns, and n_deleted after them.
+
+    Lines are split at \\n and compared whole; order is that of doc_id (integers), then of a hash of the
+    text, then of the line. Repeated rows are one document, so they lose the same lines and keep what is
+    nowhere else; rows of one doc_id with different texts are documents of their own. A run is of
+    consecutive lines, lines without a word not counted (these stay); it counts from ``min_words`` words
+    on and may overlap its copy. Null texts stay null, a text that loses all its lines is empty. Rows of
+    null doc_id stay as they are. A column n_deleted of the input is replaced; other names don't matter.
+    An empty table gives an empty table.
+    """
+    columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "n_deleted"]
+    return _deleted(docs, min_words).select(*columns, F.col("n").alias("n_deleted"))
+
+
+def delete_in_place(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The same with the columns of ``docs``; n_chars, if there, is that of the new text where lines went."""
+    chars = F.when(F.col("n") > 0, F.char_length("text").cast("long")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": chars}
+    return _deleted(docs, min_words).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

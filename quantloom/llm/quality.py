@@ -2,20 +2,25 @@
 
 Each document is measured in one pass inside its row. Failures of each rule are then summed by host,
 a host's rate is shrunk towards the corpus's by a beta prior that the hosts themselves give (method of
-moments), and the verdict on the host is joined back to its documents. DataFrame functions only.
+moments), and the verdicts on the host are joined back to its documents: on the whole host, and on how
+strictly each rule is held there. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import let, materialize
+from quantloom.llm.common import join_hubs, let, materialize
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: A host whose shrunk failure rate of any rule is over this is rejected as a whole.
 MAX_RATE = 0.95
+#: A host whose shrunk rate of a rule is over so many times the corpus's is strict: its documents that fail the rule go.
+STRICT = 1.25
 RULES = {
     "short": "n_words < 50",
     "repeats": "100 * n_repeat_words > 50 * n_words",
@@ -69,31 +74,35 @@ def features(docs: DataFrame, host: str = "source") -> DataFrame:
     return got.select("doc_id", "host", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), F.col("w.again").alias("n_repeat_words"), F.col("l.n").alias("n_lines"))
 
 
-def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """host and, for each rule, its shrunk failure rate; rejected if one of them is over ``max_rate``."""
+def host_verdicts(measured: DataFrame, max_rate: float = MAX_RATE, strict: float = STRICT) -> DataFrame:
+    """host, n (documents) and, for each rule, its shrunk failure rate and whether the host is strict on it; rejected if a rate is over ``max_rate``."""
     fails = {f"{name}_n": F.sum(F.expr(rule).cast("long")) for name, rule in RULES.items()}
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(f.alias(k) for k, f in fails.items()))
     total = hosts.agg(F.sum("n").alias("n"), *(F.sum(f"{r}_n").alias(r) for r in RULES), *(F.sum(F.col(f"{r}_n") * F.col(f"{r}_n") / F.col("n")).alias(f"{r}_2") for r in RULES)).first()
-    if not total["n"]:
-        return hosts.select("host", F.lit(False).alias("rejected"))
-    rates = {}
+    rates, over = {}, {}
     for r in RULES:
-        mean = total[r] / total["n"]
-        spread = total[f"{r}_2"] / total["n"] - mean * mean
+        mean = total[r] / total["n"] if total["n"] else 0.0
+        spread = total[f"{r}_2"] / total["n"] - mean * mean if total["n"] else 0.0
         weight = min(1e6, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else 1e6
         rates[r] = (F.col(f"{r}_n") + mean * weight) / (F.col("n") + weight)
-    return hosts.select("host", F.greatest(*rates.values(), F.lit(0.0)) > max_rate, *(v.alias(f"{r}_rate") for r, v in rates.items())).toDF("host", "rejected", *(f"{r}_rate" for r in rates))
+        over[r] = rates[r] > strict * mean
+    worst = F.greatest(*rates.values(), F.lit(0.0)) > max_rate
+    return hosts.select("host", "n", worst.alias("rejected"), *(v.alias(f"{r}_rate") for r, v in rates.items()), *(v.alias(f"{r}_strict") for r, v in over.items()))
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, the features, base_failed, host_rejected and kept for each document.
+    """doc_id, the features, base_failed, kept and host_rejected for each document.
 
     Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words and fail; documents of
-    null host share one host; the host's verdict counts for documents that don't fail themselves.
-    Columns other than doc_id, text and the host's are not looked at; an empty table gives an empty table.
+    null host share one host. A document that fails the rules short or repeats fails by itself. One that
+    fails symbols, dup_lines or word_length goes where the host is strict on that rule, as failures there
+    are no accidents; and all of a host go whose shrunk rate of any rule is over ``MAX_RATE``. Repeated
+    rows count as often as they are there. Columns other than doc_id, text and the host's are not looked
+    at; an empty table gives an empty table.
     """
     measured = materialize(features(docs, host), "quality")
-    bad = host_verdicts(measured).where("rejected").select("host", "rejected")
-    rejected = F.coalesce("rejected", F.lit(False))
+    hosts = materialize(host_verdicts(measured), "hosts")
     failed = F.expr(f"{RULES['short']} or {RULES['repeats']}")
-    return measured.join(bad, "host", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"), rejected.alias("host_rejected"))
+    strict = reduce(lambda a, b: a | b, (F.expr(f"({RULES[r]}) and {r}_strict") for r in RULES if r not in ("short", "repeats")))
+    rows = join_hubs(measured, hosts, ["host"])
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~strict & ~F.col("rejected")).alias("kept"), F.col("rejected").alias("host_rejected"))

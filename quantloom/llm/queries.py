@@ -117,7 +117,13 @@ f as (
 h as (select host, rule, cast(count(*) as double) as n, cast(sum(bad) as double) as k from (unpivot f on r1, r2, r3, r4, r5 into name rule value bad) group by host, rule),
 t as (select rule, sum(n) as n, sum(k) / sum(n) as mean, sum(k * k / n) / sum(n) - power(sum(k) / sum(n), 2) as spread from h group by rule),
 s as (select rule, mean, case when spread > 0 then least(1e6, greatest(1.0, mean * (1 - mean) / spread - 1)) else 1e6 end as weight from t),
-bad as (select host, bool_or((k + mean * weight) / (n + weight) > {quality.MAX_RATE}) as host_rejected from h join s using (rule) group by host)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 + r2 > 0 as base_failed, r1 + r2 = 0 and not host_rejected as kept, host_rejected
+bad as (
+  select host, bool_or((k + mean * weight) / (n + weight) > {quality.MAX_RATE}) as host_rejected,
+    bool_or(rule = 'r3' and (k + mean * weight) / (n + weight) > {quality.STRICT} * mean) as s3,
+    bool_or(rule = 'r4' and (k + mean * weight) / (n + weight) > {quality.STRICT} * mean) as s4,
+    bool_or(rule = 'r5' and (k + mean * weight) / (n + weight) > {quality.STRICT} * mean) as s5
+  from h join s using (rule) group by host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 + r2 > 0 as base_failed,
+  r1 + r2 = 0 and not host_rejected and not (r3 = 1 and s3) and not (r4 = 1 and s4) and not (r5 = 1 and s5) as kept, host_rejected
 from f join bad using (host)""",
 }

@@ -1,10 +1,11 @@
 """WARC archives as a PySpark Python data source, for reading and writing.
 
-Writing: every task writes its own archive, one gzip member for each record, with an index of block
-offsets beside it; the driver publishes them when all tasks have succeeded. Reading: partitions are
-planned from the indexes (a whole file where there is none), predicates on record_type and on the
-header columns are pushed down, and records are read headers first: the payload of a record that the
-predicates reject, or that nobody asks for, is stepped over and never decoded.
+Writing: every task writes its own archives, one for each record type, one gzip member for each record,
+with an index of block offsets and the record type beside each; the driver publishes them when all tasks
+have succeeded. Reading: partitions are planned from the indexes (a whole file where there is none),
+predicates on record_type and on the header columns are pushed down (archives of other record types are
+not opened), and records are read headers first: the payload of a record that the predicates reject, or
+that nobody asks for, is stepped over and never decoded.
 
 Paths are folders or files that driver and executors share; schemes other than ``file`` go through
 Arrow's file systems.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from quantloom.llm.common import scratch
+from quantloom.llm.common import join_hubs, materialize, scratch
 
 VERSION = "WARC/1.1"
 #: Raw bytes of records that one index entry, and so one input partition, covers.
@@ -37,6 +38,8 @@ HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_ur
 #: The revisit profile of the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MIN_REVISIT = 100
+#: Bytes of a record's headers at most.
+MOST_HEADERS = 1 << 20
 
 
 def _open(path: str):
@@ -73,8 +76,25 @@ def record(row: dict) -> bytes:
 
 @dataclass
 class _Done(WriterCommitMessage):
-    name: str
-    blocks: list
+    #: (file name, record type, block offsets) of each archive.
+    files: list
+
+
+class _Archive:
+    """A file of one record type that a task writes."""
+
+    def __init__(self, store, folder: str):
+        self.name = f"part-{uuid.uuid4().hex}.warc.gz"
+        self.out = store.open_output_stream(f"{folder}/{self.name}", compression=None)
+        self.blocks, self.raw, self.at = [], 0, 0
+
+    def add(self, body: bytes) -> None:
+        if not self.blocks or self.raw >= BLOCK_BYTES:
+            self.blocks.append(self.at)
+            self.raw = 0
+        member = gzip.compress(body, 5, mtime=0)
+        self.out.write(member)
+        self.raw, self.at = self.raw + len(body), self.at + len(member)
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -83,32 +103,28 @@ class WarcWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _open(self.path)
-        name = f"part-{uuid.uuid4().hex}.warc.gz"
         store.create_dir(f"{root}/_temporary")
-        blocks, raw, at = [], 0, 0
-        with store.open_output_stream(f"{root}/_temporary/{name}", compression=None) as out:
-            for batch in iterator:
-                for row in batch.to_pylist():
-                    body = record(row)
-                    if not blocks or raw >= BLOCK_BYTES:
-                        blocks.append(at)
-                        raw = 0
-                    member = gzip.compress(body, 5, mtime=0)
-                    out.write(member)
-                    raw, at = raw + len(body), at + len(member)
-        return _Done(name, [*blocks, at])
+        files: dict[str, _Archive] = {}
+        for batch in iterator:
+            for row in batch.to_pylist():
+                kind = row.get("record_type") or ""
+                if kind not in files:
+                    files[kind] = _Archive(store, f"{root}/_temporary")
+                files[kind].add(record(row))
+        for f in files.values():
+            f.out.close()
+        return _Done([(f.name, kind, [*f.blocks, f.at]) for kind, f in files.items()])
 
     def commit(self, messages) -> None:
-        """Publish what succeeded; files of lost or repeated attempts are never moved out."""
+        """Publish what succeeded; files of lost or repeated attempts are never moved out. What is overwritten goes last."""
         store, root = _open(self.path)
-        if self.overwrite:
-            for info in store.get_file_info(fs.FileSelector(root)):
-                if re.search(r"\.warc\.gz(\.index)?$", info.path):
-                    store.delete_file(info.path)
-        for m in filter(None, messages):
-            with store.open_output_stream(f"{root}/{m.name}.index", compression=None) as out:
-                out.write(json.dumps(m.blocks).encode())
-            store.move(f"{root}/_temporary/{m.name}", f"{root}/{m.name}")
+        old = [i.path for i in store.get_file_info(fs.FileSelector(root)) if re.search(r"\.warc(\.gz)?(\.index)?$", i.path)] if self.overwrite else []
+        for name, kind, blocks in (f for m in filter(None, messages) for f in m.files):
+            with store.open_output_stream(f"{root}/{name}.index", compression=None) as out:
+                out.write(json.dumps({"record_type": kind, "blocks": blocks}).encode())
+            store.move(f"{root}/_temporary/{name}", f"{root}/{name}")
+        for path in old:
+            store.delete_file(path)
         if store.get_file_info(f"{root}/_temporary").type == fs.FileType.Directory:
             store.delete_dir(f"{root}/_temporary")
         store.create_dir(root)
@@ -155,6 +171,8 @@ class _Bytes:
         seen = 0
         while (k := self.held.find(mark, seen)) < 0:
             seen = max(0, len(self.held) - len(mark))
+            if seen > MOST_HEADERS:
+                raise ValueError(f"headers of over {MOST_HEADERS} bytes")
             if not self._more():
                 return None
         out, self.held = self.held[: k + len(mark)], self.held[k + len(mark) :]
@@ -196,7 +214,10 @@ class WarcReader(DataSourceReader):
                 continue
             if f"{i.path}.index" in names:
                 with store.open_input_stream(f"{i.path}.index", compression=None) as f:
-                    at = json.loads(f.read())
+                    index = json.loads(f.read())
+                at = index["blocks"]
+                if any(c == "record_type" and v is not None and index["record_type"] not in v for c, v in self.rules):
+                    continue
                 out += [_Blocks(i.path, a, b) for a, b in zip(at[:-1], at[1:], strict=True) if b > a]
             elif i.size:
                 out.append(_Blocks(i.path, 0, None))
@@ -269,7 +290,7 @@ def register(spark: SparkSession) -> None:
 
 
 def _page_id(column: str):
-    return F.regexp_extract(column, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    return F.nullif(F.regexp_extract(column, r"^<urn:page:(-?\d+)>$", 1), F.lit("")).cast("long")
 
 
 def archive_pages(pages: DataFrame, path: str) -> None:
@@ -277,18 +298,18 @@ def archive_pages(pages: DataFrame, path: str) -> None:
     raw = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", raw.alias("payload"))
     digest = F.sha2("payload", 256)
-    known = rows.select("page_id", digest.alias("digest"), F.length("payload").alias("n"))
-    first = known.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    later = known.join(first.where("copies > 1"), "digest").where("page_id > first").select("page_id", "first")
+    known = materialize(rows.select("page_id", digest.alias("digest"), F.length("payload").alias("length")).where(F.col("length") >= MIN_REVISIT), "payloads")
+    first = materialize(known.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"), "first")
+    later = join_hubs(known, first, ["digest"]).where("page_id > first").select("page_id", "digest", "first").distinct()
     revisit = F.col("first").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
-    out = rows.join(later, "page_id", "left").select(
+    out = rows.withColumn("digest", digest).join(later, ["page_id", "digest"], "left").select(
         urn("page_id").alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
         F.lit("1970-01-01T00:00:00Z").alias("date"),
         F.when(revisit, urn("first")).alias("refers_to"),
-        F.concat(F.lit("sha256:"), digest).alias("payload_digest"),
+        F.concat(F.lit("sha256:"), "digest").alias("payload_digest"),
         F.length("payload").cast("long").alias("payload_length"),
         F.lit("text/html; charset=utf-8").alias("content_type"),
         F.when(~revisit, F.col("payload")).alias("payload"),
@@ -309,8 +330,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Needs page_id (integers, distinct), url and html; null html is an empty payload, a null url is
-    left out, control characters in urls are escaped. A revisit record has no payload of its own:
+    Needs page_id (integers), url and html; null html is an empty payload, a null url is left out,
+    control characters in urls are escaped. Each row is one record: repeated rows are repeated, a
+    payload that one page_id has twice is a response both times if no smaller page_id has it, and a row
+    of null page_id is a response with a null page_id that no revisit refers to. A revisit record has no payload of its own:
     its length and digest are those of its headers. Reading revisits decodes no payload. Empty
     payloads and those under 100 bytes are all responses. An empty table gives an empty table.
     """

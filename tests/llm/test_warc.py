@@ -66,3 +66,23 @@ def test_foreign_archives(spark, tmp_path):
     warc.register(spark)
     got = spark.read.format("warc").load(str(tmp_path)).where("record_type in ('response', 'x')").selectExpr("length(payload) n").collect()
     assert sorted(r.n for r in got) == sorted([*range(5)] * 2)
+
+
+def test_repeated_rows_stay_as_many(spark):
+    big = "<p>x</p>" * 30
+    data = [(1, "u", big), (2, "v", big), (2, "v", big), (3, "w", big + "y"), (3, "w", big + "y"), (None, "n", big), (None, "n", None)]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.warc_round_trip(spark.createDataFrame(data, "page_id long, url string, html string")).collect()), key=str)
+    assert got == sorted([(1, "response", None), (2, "revisit", 1), (2, "revisit", 1), (3, "response", None), (3, "response", None), (None, "response", None), (None, "response", None)], key=str)
+
+
+def test_overwrite_replaces_and_long_headers_are_refused(spark, tmp_path):
+    import io
+
+    pages = spark.createDataFrame(rows(), "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.archive_pages(pages, path)
+    df = spark.read.format("warc").load(path).where("record_id = '<urn:page:3>'")
+    df.write.format("warc").mode("overwrite").save(path)
+    assert [r.record_id for r in spark.read.format("warc").load(path).collect()] == ["<urn:page:3>"]
+    with pytest.raises(ValueError, match="headers"):
+        [*warc.WarcReader("", ["record_id"])._records(warc._Bytes(io.BytesIO(b"WARC/1.1\r\n" + b"x" * (3 << 20)), None, False))]

@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import CHUNK_BYTES, chunks, has_letter, mix, strings
+from quantloom.llm.common import CHUNK_BYTES, chunks, has_letter, mix, quoted, strings
 
 GRAMS = (1, 2, 3, 4)
 #: Hashed n-grams: a presence vector has so many places.
@@ -190,16 +190,26 @@ def held_out():
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learn from a bounded sample: of each language ``per_lang`` documents that aren't held out.
 
-    The sample is drawn by hash of doc_id. Ranks are cut before the shuffle (a window group limit),
-    so no language's rows meet in one task.
+    The sample is the rows with the smallest hashes of doc_id and text. Languages are counted first,
+    and each gets a hash bound that about half as many again are under; so no row is shuffled, and the
+    driver gets some 600 texts for each learned language.
     """
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = docs.where(~held_out()).where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    ids = rows.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= per_lang)
-    picked = [r["doc_id"] for r in ids.select("doc_id").collect()]
-    sample = rows.where(F.col("doc_id").isin(picked)).collect() if picked else []
-    sample.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    spread = 1 << 30
+    named = docs.where(~held_out()).where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    rows = named.select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(spread)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample: dict[str, list] = {}
+    missing, share = set(counts), 1.5
+    while missing:
+        bound = {v: min(spread, int(spread * (share * per_lang + 50) / counts[v])) for v in missing}
+        picked = F.create_map(*(F.lit(x) for v in sorted(bound) for x in (v, bound[v])))
+        found: dict[str, list] = {v: [] for v in missing}
+        for r in rows.where(F.col("h") < picked[F.col("lang")]).collect():
+            found[r["lang"]].append((r["h"], r["text"]))
+        sample |= {v: sorted(x)[:per_lang] for v, x in found.items()}
+        missing = {v for v in missing if len(sample[v]) < min(per_lang, counts[v]) and bound[v] < spread}
+        share *= 2
+    return fit([t for v in sorted(sample) for _, t in sample[v]], [v for v in sorted(sample) for _ in sample[v]])
 
 
 def predictor(spark, model: Model, known: bool = False):
@@ -223,7 +233,8 @@ def predictor(spark, model: Model, known: bool = False):
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Predict the language of every text: doc_id, held_out, lang_pred, score.
 
-    Learned languages are the non-null values of lang; without any, all predictions are `und`. Null
+    Learned languages are the non-null values of lang; a repeated row counts as often as it is there, a null
+    doc_id is not held out; without any, all predictions are `und`. Null
     texts and texts without a letter are `und` with score 0. Equal texts get equal predictions; lang,
     source and doc_id are no inputs. An empty table gives an empty table.
     """
@@ -235,7 +246,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def accept(docs: DataFrame, min_score: float = 0.3) -> DataFrame:
     """The documents whose language is known: `und`, scores under ``min_score`` and texts that no learned language allows go. Columns as they were."""
-    named = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    named = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), "text")
     schema = T.StructType([T.StructField("row", docs.schema)]).add("text", "string").add("lang_pred", "string").add("score", "double").add("known", "boolean")
     out = named.mapInArrow(predictor(docs.sparkSession, train(docs), known=True), schema)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score) & F.col("known")).select("row.*")
+    good = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score) & F.col("known")
+    return out.where(good).select(*(F.col("row")[c].alias(c) for c in docs.columns))

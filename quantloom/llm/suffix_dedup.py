@@ -27,18 +27,23 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, prefix_hash, small_batches, span_hash, squeeze, strings, text_size, unsqueeze
+from quantloom.llm.common import by_range, chunks, frame, join_packed, materialize, mix, pack, prefix_hash, quoted, small_batches, span_hash, squeeze, strings, text_size, unsqueeze
 
 SPAN, GRAM = 50, 16
 _SLIDE = SPAN - GRAM + 1
 _LEFT = _SLIDE - 1
 _POS_BITS = 20
 _SEGMENT = 1 << _POS_BITS
-#: Leading tokens that the driver samples for the splitters (8 bytes each), from about so many documents.
-SAMPLE_DOCS, SAMPLE_KEYS = 2_000, 100_000
+#: Text for each range of leading tokens, and the fewest and most ranges.
+RANGE_BYTES, RANGES = 4 << 20, (64, 1 << 20)
+#: Leading tokens that the driver samples for each range (8 bytes each, 16 MB at most), and at most from one document.
+SAMPLE_KEYS, SAMPLE_MOST, SAMPLE_OF_DOCUMENT = 32, 2_000_000, 50
 #: Text that a task holds to deal it out compressed.
 DEAL_BYTES = 8 << 20
 _U = np.uint64
@@ -90,6 +95,11 @@ class Anchors:
         return np.ascontiguousarray(rows).view(f"V{_LEFT + SPAN}").reshape(-1)
 
 
+def tag_of(text: bytes) -> int:
+    """Spark's ``xxhash64`` of a text."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text, seed=42)).view(np.int64))
+
+
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in strings(batch.column("text"))]
 
@@ -106,30 +116,43 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(cut.tolist(), np.append(cut[1:], len(keys)).tolist(), strict=True)
 
 
-def _dealt(docs: DataFrame, buckets: int) -> DataFrame:
-    """b, ids, sizes, texts: the documents by bucket, many in a row and compressed together."""
+def _dealt(docs: DataFrame, buckets: int, rest: tuple[str, ...] = ()) -> DataFrame:
+    """b, ids, sizes, texts, rest: the documents by bucket, many in a row and compressed together; other columns as an Arrow stream."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        def flush(held: list[tuple[int, bytes]], others: list[pa.RecordBatch]) -> pa.RecordBatch:
             ids = np.array([k for k, _ in held], np.int64)
             b = _bucket(ids, buckets)
             order = np.argsort(b, kind="stable")
             b, texts = b[order], [held[k][1] for k in order.tolist()]
-            rows = [(int(b[i]), squeeze(ids[order[i:j]]), squeeze(np.array([len(t) for t in texts[i:j]], np.int64)), squeeze(np.frombuffer(b"".join(texts[i:j]), np.uint8))) for i, j in _runs(b)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)], ["b", "ids", "sizes", "texts"])
+            table = pa.Table.from_batches(others).take(order) if others else None
+            rows = [(int(b[i]), squeeze(ids[order[i:j]]), squeeze(np.array([len(t) for t in texts[i:j]], np.int64)), squeeze(np.frombuffer(b"".join(texts[i:j]), np.uint8)), _stream(table.slice(i, j - i)) if others else None) for i, j in _runs(b)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["b", "ids", "sizes", "texts", "rest"])
 
-        held, total = [], 0
+        held, others, total = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), _bytes(batch), strict=True):
-                held.append((doc, text))
-                total += len(text) + 64
+            texts = _bytes(batch)
+            for part in chunks([len(t) + 64 for t in texts], DEAL_BYTES):
+                ids = batch.column(0).slice(part.start, part.stop - part.start).to_pylist()
+                held += zip(ids, texts[part], strict=True)
+                if rest:
+                    others.append(batch.slice(part.start, part.stop - part.start).select(batch.schema.names[2:]))
+                total += sum(len(t) + 64 for t in texts[part])
                 if total > DEAL_BYTES:
-                    yield flush(held)
-                    held, total = [], 0
+                    yield flush(held, others)
+                    held, others, total = [], [], 0
         if held:
-            yield flush(held)
+            yield flush(held, others)
 
-    return docs.mapInArrow(of, "b int, ids binary, sizes binary, texts binary")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(quoted(c).alias(f"_{k}") for k, c in enumerate(rest)))
+    return named.mapInArrow(of, "b int, ids binary, sizes binary, texts binary, rest binary")
+
+
+def _stream(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
 def _undealt(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -211,11 +234,12 @@ def _splitters(docs: DataFrame, n_docs: int, ranges: int) -> np.ndarray:
             for text in _bytes(batch):
                 a = Anchors([text])
                 keys = a.lead(slice(None))
-                keys = keys[np.argsort(mix(a.at.astype(_U)))][: SAMPLE_KEYS // SAMPLE_DOCS]
+                keys = keys[np.argsort(mix(a.at.astype(_U)))][:SAMPLE_OF_DOCUMENT]
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys.astype(np.int64))})
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs))) < SAMPLE_DOCS)
-    keys = np.sort(sample.mapInArrow(lead, "key long").toPandas()["key"].to_numpy(np.int64).view(_U))
+    want = min(SAMPLE_MOST, max(100_000, SAMPLE_KEYS * ranges)) // SAMPLE_OF_DOCUMENT
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs))) < want)
+    keys = np.sort(sample.mapInArrow(lead, "key long").toArrow()["key"].to_numpy().view(_U))
     return keys[np.arange(1, ranges) * len(keys) // ranges] if len(keys) else np.empty(0, _U)
 
 
@@ -223,11 +247,11 @@ def _suffixes(texts: DataFrame, marked: DataFrame, shift: int, splitters: np.nda
     """Packed suffixes with their left context, by range of their leading token."""
 
     def flush(held: list[tuple]) -> list[tuple[int, bytes]]:
-        key, ctx, doc, at, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, ctx, doc, tag, at, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
         low, high = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
         r = np.where(high - low > 1, low + 1 + mix(doc.astype(_U)).astype(np.int64) % np.maximum(1, high - low), high)
         order = np.lexsort((key, r))
-        r, cols = r[order], [x[order] for x in (key, ctx, doc, at, lo, hi)]
+        r, cols = r[order], [x[order] for x in (key, ctx, doc, tag, at, lo, hi)]
         return [(int(r[i]), pack(*(x[i:j] for x in cols))) for i, j in _runs(r)]
 
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -244,7 +268,10 @@ def _suffixes(texts: DataFrame, marked: DataFrame, shift: int, splitters: np.nda
                 keep = np.flatnonzero(keep)
                 if len(keep):
                     owner = a.owner[keep]
-                    held.append((a.lead(keep), a.context(keep), own[owner], a.at[keep] - a.begin[owner], a.lo[keep].astype(np.uint8), a.hi[keep].astype(np.uint8)))
+                    tags = np.zeros(len(own), np.int64)
+                    for k in np.unique(owner).tolist():
+                        tags[k] = tag_of(texts[part][k])
+                    held.append((a.lead(keep), a.context(keep), own[owner], tags[owner], a.at[keep] - a.begin[owner], a.lo[keep].astype(np.uint8), a.hi[keep].astype(np.uint8)))
                     total += len(keep)
                 if total >= 150_000:
                     rows += flush(held)
@@ -324,14 +351,14 @@ def _buckets(splitters: np.ndarray | None, buckets: int):
     wide = np.unique(splitters[1:][splitters[1:] == splitters[:-1]]) if splitters is not None and len(splitters) else np.empty(0, _U)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        key, ctx, doc, at, lo, hi = join_packed(pdf["blob"])
+        key, ctx, doc, tag, at, lo, hi = join_packed(pdf["blob"])
         order = np.argsort(key, kind="stable")
         key = key[order]
         begin = np.concatenate(([True], key[1:] != key[:-1]))
         size = np.diff(np.append(np.flatnonzero(begin), len(key)))
         keep = np.repeat(size > 1, size) | np.isin(key, wide)
         order, key = order[keep], key[keep]
-        ctx, doc, at, lo, hi = (x[order] for x in (ctx, doc, at, lo, hi))
+        ctx, doc, tag, at, lo, hi = (x[order] for x in (ctx, doc, tag, at, lo, hi))
         kind, ids, blobs = [], [], []
         # whole runs of equal leading tokens, some 100,000 suffixes at a time
         cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
@@ -340,26 +367,29 @@ def _buckets(splitters: np.ndarray | None, buckets: int):
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             first, last, open_ = decide(ctx[a:b], doc[a:b], lo[a:b], hi[a:b])
             hit = last >= 0
-            spans.append((doc[a:b][hit], at[a:b][hit] - last[hit], at[a:b][hit] - first[hit] + SPAN))
+            spans.append((doc[a:b][hit], tag[a:b][hit], at[a:b][hit] - last[hit], at[a:b][hit] - first[hit] + SPAN))
             for k in np.flatnonzero(np.isin(wide, key[a:b])):
                 own = np.flatnonzero((key[a:b] == wide[k]) & open_) + a
                 if len(own):
                     kind.append(1)
                     ids.append(int(wide[k].view(np.int64)))
-                    blobs.append(pack(*(x[own] for x in (key, ctx, doc, at, lo, hi))))
+                    blobs.append(pack(*(x[own] for x in (key, ctx, doc, tag, at, lo, hi))))
         if spans:
-            d, s, e = (np.concatenate(x) for x in zip(*spans, strict=True))
-            order = np.lexsort((s, d))
-            d, s, e = d[order], s[order], e[order]
-            runs = [(d[i], *merged(s[i:j], e[i:j])) for i, j in _runs(d)]
-            d, s, e = (np.concatenate([np.full(len(x[1]), x[0]) if k == 0 else x[k] for x in runs] or [d]) for k in range(3))
+            d, g, s, e = (np.concatenate(x) for x in zip(*spans, strict=True))
+            order = np.lexsort((s, g, d))
+            d, g, s, e = d[order], g[order], s[order], e[order]
+            text = np.cumsum(np.concatenate(([False], (d[1:] != d[:-1]) | (g[1:] != g[:-1])))) if len(d) else d
+            runs = [(i, *merged(s[i:j], e[i:j])) for i, j in _runs(text)]
+            at_ = np.concatenate([np.full(len(x[1]), x[0]) for x in runs] or [np.empty(0, np.int64)])
+            d, g = d[at_], g[at_]
+            s, e = (np.concatenate([x[k] for x in runs] or [np.empty(0, np.int64)]) for k in (1, 2))
             b = _bucket(d, buckets)
             order = np.argsort(b, kind="stable")
-            d, s, e, b = d[order], s[order], e[order], b[order]
+            d, g, s, e, b = d[order], g[order], s[order], e[order], b[order]
             for i, j in _runs(b):
                 kind.append(0)
                 ids.append(int(b[i]))
-                blobs.append(pack(d[i:j], s[i:j], e[i:j]))
+                blobs.append(pack(d[i:j], g[i:j], s[i:j], e[i:j]))
         return frame({"kind": kind, "id": ids, "blob": blobs}, ["kind", "id", "blob"])
 
     return of
@@ -377,9 +407,10 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Remove each byte covered by a 50-byte string that also starts in a document with a smaller doc_id.
 
-    ``docs`` needs doc_id (integers, distinct) and text; other columns are not looked at. Returns
-    doc_id, n_bytes (UTF-8; null text: 0), spans (the maximal removed runs, [start, end) in bytes)
-    and kept (the remaining bytes). Strings are judged on the input, overlaps count, matches never
+    ``docs`` needs doc_id (integers) and text; other columns are not looked at. Returns, for each row,
+    doc_id, n_bytes (UTF-8; null text: 0), spans (the maximal removed runs, [start, end) in bytes),
+    kept (the remaining bytes) and text_hash (``xxhash64`` of the text, to tell rows of one doc_id apart;
+    these and repeated rows remove nothing from each other). Strings are judged on the input, overlaps count, matches never
     cross documents. Texts under 50 bytes stay. Rows of null doc_id stay as they are and remove
     nothing elsewhere. An empty table gives an empty table.
     """
@@ -387,37 +418,78 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return _remove_repeats(docs)
 
 
-def _remove_repeats(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.where("doc_id is not null")
+def remove_in_place(docs: DataFrame) -> DataFrame:
+    """The documents without the bytes that :func:`remove_repeats` removes; all columns as they are.
+
+    What is left of a cut character goes too; n_chars, if there, is that of the new text where bytes went.
+    Rows of null doc_id and null texts stay as they are. Other columns travel with the texts.
+    """
+    with small_batches(docs.sparkSession):
+        return _remove_repeats(docs, tuple(docs.columns))
+
+
+def _found(docs: DataFrame) -> tuple[int, DataFrame]:
+    """The number of buckets, and (b, blob) of all ranges to remove."""
     n_docs, n_bytes = text_size(docs)
     buckets = int(max(12, n_bytes // (16 << 20)))
-    texts = _dealt(named, buckets)
-    marked, shift = _repeated(named, n_bytes, buckets)
-    splitters = _splitters(named, n_docs, max(12, n_bytes // (24 << 20)))
+    marked, shift = _repeated(docs, n_bytes, buckets)
+    splitters = _splitters(docs, n_docs, min(RANGES[1], max(RANGES[0], n_bytes // RANGE_BYTES)))
     rows = "kind int, id long, blob binary"
-    found = materialize(_suffixes(texts, marked, shift, splitters).groupBy("r").applyInPandas(_buckets(splitters, buckets), rows), "repeats")
+    suffixes = _suffixes(_dealt(docs, buckets), marked, shift, splitters)
+    found = materialize(suffixes.groupBy("r").applyInPandas(_buckets(splitters, buckets), rows), "repeats")
     across = found.where("kind = 1").groupBy("id").applyInPandas(_buckets(None, buckets), rows)
-    spans = found.where("kind = 0").unionByName(across).select(F.col("id").cast("int").alias("b"), "blob")
+    return buckets, found.where("kind = 0").unionByName(across).select(F.col("id").cast("int").alias("b"), "blob")
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, cols = _by_document(right.column("blob").to_pylist()), ([], [], [], [])
+
+def _remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    named, unnamed = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    buckets, spans = _found(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+    def cut(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
+        """(doc_id, text, ranges, what is kept, text_hash) of a bucket's documents."""
+        known = _by_document(right.column("blob").to_pylist())
         for ids, own in _undealt(left):
             for doc, text in zip(ids.tolist(), own, strict=True):
-                runs, kept = [], text
-                if doc in known:
-                    s, e = known[doc]
+                runs, kept, tag = [], text, tag_of(text)
+                if doc in known and (mine := known[doc][0] == tag).any():
+                    s, e = known[doc][1][mine], known[doc][2][mine]
                     order = np.argsort(s, kind="stable")
                     s, e = (x.tolist() for x in merged(s[order], e[order]))
-                    runs = [{"start": a, "end": b} for a, b in zip(s, e, strict=True)]
+                    runs = [*zip(s, e, strict=True)]
                     kept = b"".join(text[a:b] for a, b in zip([0, *e], [*s, len(text)], strict=True))
-                for c, v in zip(cols, (doc, len(text), runs, kept), strict=True):
-                    c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept"])
-
-    schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
-    out = texts.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(cut, schema)
+                yield doc, text, runs, kept, tag
+
+    def described(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = [(doc, len(text), [{"start": a, "end": b} for a, b in runs], kept, tag) for doc, text, runs, kept, tag in cut(left, right)]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.int64())
+        cols = [*zip(*rows, strict=True)] or [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "spans", "kept", "text_hash"])
+
+    if columns:
+        rest = tuple(c for c in columns if c != "text")
+        chars = rest.index("n_chars") if "n_chars" in rest else None
+        schema = T.StructType([T.StructField(f"_{k}", docs.schema[c].dataType) for k, c in enumerate(rest)]).add("text", "string")
+        kind = to_arrow_type(docs.schema["n_chars"].dataType) if chars is not None else None
+
+        def rebuilt(left: pa.Table, right: pa.Table) -> pa.Table:
+            others = [pa.ipc.open_stream(x).read_all() for x in left.column("rest").to_pylist()]
+            table = pa.concat_tables(others) if others else None
+            found = [(kept.decode("utf-8", "ignore") if runs else text.decode("utf-8", "surrogatepass"), bool(runs)) for _, text, runs, kept, _ in cut(left, right)]
+            if table is None:
+                return pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in schema.fields})
+            if chars is not None:
+                old = table.column(f"_{chars}").to_pylist()
+                new = [len(t) if hit else n for (t, hit), n in zip(found, old, strict=True)]
+                table = table.set_column(chars, f"_{chars}", pa.array(new, kind))
+            return table.append_column("text", pa.array([t for t, _ in found], pa.string()))
+
+        texts = _dealt(named.where("text is not null"), buckets, rest)
+        out = texts.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(rebuilt, schema)
+        names = {c: f"_{k}" for k, c in enumerate(rest)}
+        out = out.select(*(F.col(names.get(c, "text")).alias(c) for c in columns))
+        return out.unionByName(docs.where("doc_id is null or text is null").select(*map(quoted, columns)))
+    texts = _dealt(named, buckets)
+    out = texts.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(described, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, text_hash long")
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    unnamed = docs.where("doc_id is null").select("doc_id", F.length(raw).cast("long").alias("n_bytes"), F.array().cast(out.schema["spans"].dataType).alias("spans"), raw.alias("kept"))
-    return out.unionByName(unnamed)
+    whole = unnamed.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(raw).cast("long").alias("n_bytes"), F.array().cast(out.schema["spans"].dataType).alias("spans"), raw.alias("kept"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return out.unionByName(whole)

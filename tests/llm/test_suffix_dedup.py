@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import suffix_dedup as sd
 
@@ -85,3 +86,16 @@ def test_empty_table(spark):
 def test_multikey_sort():
     rows = np.random.default_rng(0).integers(0, 2, (500, 11), dtype=np.uint8)
     assert [bytes(rows[k]) for k in sd.multikey_sort(rows)] == sorted(map(bytes, rows))
+
+
+def test_repeated_rows_and_texts_of_one_id(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, own = word(120), word(80)
+    rows = [(1, shared), (2, own + shared), (2, own + shared), (2, shared + own), (3, own), (None, shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, bytes(r.kept).decode()) for r in sd.remove_repeats(docs).collect()), key=str)
+    assert got == sorted([(1, shared), (2, own), (2, own), (2, own), (3, ""), (None, shared)], key=str)
+    assert docs.select(F.xxhash64("text").alias("h")).first().h == sd.tag_of(shared.encode())

@@ -8,25 +8,13 @@ is kept with an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quantloom.llm import langid, line_dedup, ngram_join, packing, suffix_dedup
-from quantloom.llm.common import materialize
+from quantloom.llm.common import materialize, quoted
 from quantloom.llm.queries import vocabulary
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``docs`` with the texts of (doc_id, changed): other rows and all other columns as they were."""
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(texts.select("doc_id", "changed", F.lit(True).alias("hit")), "doc_id", "left")
-    text = F.when(F.col("hit"), F.col("changed")).otherwise(F.col("row.text"))
-    new = {"text": text, "n_chars": F.when(F.col("hit"), F.char_length("changed").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return rows.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose best language scores under the limit, go."""
     return langid.accept(docs)
@@ -34,28 +22,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; the documents stay."""
-    out = line_dedup.delete_repeats(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return line_dedup.delete_in_place(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays; a null doc_id is in no group."""
-    found = ngram_join.near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the smallest doc_id stays, with all its rows; a null doc_id is in no group."""
+    found = ngram_join.near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that a smaller doc_id has go; so do the rest of cut characters."""
-
-    def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "changed": pa.array(text, pa.string())})
-
-    cut = suffix_dedup.remove_repeats(docs).where(F.size("spans") > 0).select("doc_id", "kept")
-    return _with_text(docs, cut.mapInArrow(decoded, "doc_id long, changed string"))
+    return suffix_dedup.remove_in_place(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -135,17 +135,26 @@ def liquidations(orders: DataFrame) -> DataFrame:
     )
 
 
+def liquidation_summary(orders: DataFrame) -> DataFrame:
+    """Hourly liq_amount (sum), liq_price (mean) and liq_long_count (sold) of liquidation orders; hours without any are not there."""
+    return orders.groupBy("symbol", hour().alias("t")).agg(F.sum("quantity").alias("liq_amount"), F.avg("price").alias("liq_price"), F.count_if(F.col("side") == "SELL").alias("liq_long_count"))
+
+
 def taker_ratio(trades: DataFrame) -> DataFrame:
     """Hourly share of bought quantity; 0.5 without any."""
     bought = F.sum(F.when(~F.col("maker"), F.col("quantity")).otherwise(0.0))
     return trades.groupBy("symbol", F.date_trunc("hour", "ts").alias("t")).agg(F.coalesce(F.try_divide(bought, F.sum("quantity")), F.lit(0.5)).alias("taker_ratio"))
 
 
-def adjust_forward(prices: DataFrame, factor: str = "factor") -> DataFrame:
-    """Prices by their factor over the symbol's last one, volume the other way round; a missing factor carries on, then is 1."""
+def adjust_forward(prices: DataFrame, factor: str = "factor", as_of=None) -> DataFrame:
+    """Prices by their factor over the symbol's last one, volume the other way round; a missing factor carries on, then is 1.
+
+    ``as_of``: over the factor of the last bar at or before that time (NULL prices if there is none).
+    """
     own = F.coalesce(F.last(factor, True).over(history().rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
     df = prices.withColumn("_f", own)
-    rate = F.col("_f") / F.last("_f").over(history().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    df = df.withColumn("_r", rate)
+    every = history().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.last("_f") if as_of is None else F.last(F.when(F.col("t") <= F.lit(as_of), F.col("_f")), True)
+    df = df.withColumn("_r", F.col("_f") / last.over(every))
     scaled = {c: F.col(c) * F.col("_r") for c in ("open", "high", "low", "close") if c in prices.columns}
     return df.withColumns(scaled | ({"volume": F.try_divide(F.col("volume"), F.col("_r"))} if "volume" in prices.columns else {})).drop("_f", "_r")

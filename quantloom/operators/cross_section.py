@@ -87,6 +87,14 @@ def ensemble(weights: dict[str, float], policy: str = "guard", missing: str = "s
     return total if missing == "zero" else F.when(F.coalesce(*(F.col(c) for c in weights)).isNotNull(), total)
 
 
+def pool_ic(df: DataFrame, weights: dict[str, float], target: str, policy: str = "guard", missing: str = "skip") -> DataFrame:
+    """ic, rank_ic: mean daily coefficients of the weighted ensemble with a target."""
+    scored = df.select("t", "symbol", ensemble(weights, policy, missing).alias("x"), F.col(target).alias("y"))
+    ic, rank = (ic_mean(f(scored, "x", "y")) for f in (ic_daily, rank_ic_daily))
+    both = ic.select(F.lit("ic").alias("k"), "mean_ic").unionByName(rank.select(F.lit("rank_ic").alias("k"), "mean_ic"))
+    return both.agg(F.max(F.when(F.col("k") == "ic", F.col("mean_ic"))).alias("ic"), F.max(F.when(F.col("k") == "rank_ic", F.col("mean_ic"))).alias("rank_ic"))
+
+
 def turnover(df: DataFrame, score: str) -> DataFrame:
     """turnover: mean absolute change of a score over a symbol's consecutive bars."""
     return df.select(F.abs(F.col(score) - F.lag(score).over(history())).alias("d")).agg(F.avg("d").alias("turnover"))

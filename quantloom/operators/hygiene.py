@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.operators.windows import whole
-
 EPS = 1e-12
 
 
@@ -18,16 +19,39 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     return cells.select(F.explode(F.array(*(f"c{k}" for k in range(len(columns))))).alias("r")).select("r.*")
 
 
+def _moments(columns: list[str], center: list[float]):
+    """A mapInArrow function: sums over a partition's rows that both columns of a pair have, as matrix products."""
+    upper = np.triu_indices(len(columns), 1)
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(upper[0])))
+        for b in batches:
+            x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns]) - center
+            there = ~np.isnan(x)
+            m, x = there.astype(float), np.where(there, x, 0.0)
+            total += np.stack([y[upper] for y in (m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x)])
+        yield pa.RecordBatch.from_arrays([pa.array(upper[0]), pa.array(upper[1]), *map(pa.array, total)], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    return of
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, corr of every pair over the rows that have both; NULL without spread. One aggregation."""
-    pairs = [*combinations(columns, 2)]
-    out = []
-    for k, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-        out.append(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y))).alias(f"p{k}"))
-    one = df.agg(*out)
-    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{k}").alias("corr")) for k, (a, b) in enumerate(pairs)))).alias("r")).select("r.*")
+    """a, b, corr of every pair over the rows that have both; NULL without spread.
+
+    Two passes: the columns' means, around which sums stay exact, and then all pairs at once as matrix
+    products in each partition, so a hundred columns and more make no larger plan than two.
+    """
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    doubles = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    mean = doubles.agg(*(F.avg(c).alias(c) for c in columns)).first()
+    sums = doubles.mapInArrow(_moments(columns, [mean[c] or 0.0 for c in columns]), "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    s = sums.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    cov = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n"))
+    vx, vy = (F.col(f"{c}{c}") - F.try_divide(F.col(c) * F.col(c), F.col("n")) for c in ("x", "y"))
+    spread = (vx > EPS * F.col("xx")) & (vy > EPS * F.col("yy"))
+    name = F.array(*map(F.lit, columns))
+    return s.select(F.get(name, F.col("i").cast("int")).alias("a"), F.get(name, F.col("j").cast("int")).alias("b"), F.when(spread, cov / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
 
 
 def _matrix(df: DataFrame, columns: list[str]) -> dict[frozenset, float]:
@@ -77,9 +101,12 @@ def audit(corr: DataFrame, kept: list[str]) -> DataFrame:
 
 def winsor_zscore(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Columns clipped at a symbol's quantiles (linear), then z-scored by population deviation; NULL without spread."""
-    clipped = df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.percentile(c, low).over(whole())), F.percentile(c, high).over(whole()))) for c in columns})
-    std = {c: F.stddev_pop(c).over(whole()) for c in columns}
-    return clipped.withColumns({c: F.when(std[c] > 0, (F.col(c) - F.avg(c).over(whole())) / (std[c] + EPS)) for c in columns})
+    bounds = df.groupBy("symbol").agg(*(F.percentile(c, [low, high]).alias(f"_q{k}") for k, c in enumerate(columns)))
+    clip = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_q{k}")[0]), F.col(f"_q{k}")[1])) for k, c in enumerate(columns)}
+    clipped = df.join(bounds, "symbol").withColumns(clip).select(*df.columns)
+    stat = clipped.groupBy("symbol").agg(*(f(c).alias(f"_{n}{k}") for k, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    z = {c: F.when(F.col(f"_s{k}") > 0, (F.col(c) - F.col(f"_m{k}")) / (F.col(f"_s{k}") + EPS)) for k, c in enumerate(columns)}
+    return clipped.join(stat, "symbol").withColumns(z).select(*df.columns)
 
 
 def nan_ratio(df: DataFrame, columns: list[str]) -> DataFrame:

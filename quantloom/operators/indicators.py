@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.operators.cleaning import rolling
@@ -70,13 +70,36 @@ def turnover_ratio(w: int) -> Column:
     return F.try_divide(F.col("volume"), rolling(F.col("volume"), w, F.avg))
 
 
-def price_efficiency(step: Column, w: int) -> Column:
-    """Net move over the sum of a staged absolute move."""
-    return F.try_divide(F.abs(F.col("close") - F.lag("close", w).over(history())), rolling(step, w, F.sum))
+def price_efficiency(vol: Column, atr_: Column) -> Column:
+    """A staged volatility over the staged average true range as a share of the close."""
+    return F.try_divide(vol, F.try_divide(atr_, F.col("close")))
 
 
-def vol_regime(short: Column, long: Column) -> Column:
-    return F.try_divide(short, long)
+def vol_regime(vol: Column, w: int) -> Column:
+    """A staged volatility over its own mean of ``w`` bars."""
+    return F.try_divide(vol, rolling(vol, w, F.avg))
+
+
+def change(x: str) -> Column:
+    """From the bar before."""
+    return F.col(x) - F.lag(x).over(history())
+
+
+def open_interest(df: DataFrame, oi: str = "oi_open_interest", usd: str = "oi_open_interest_usd") -> DataFrame:
+    """Append oi_delta and oi_delta_usd, and these over the bar's volume and over its quote volume."""
+    out = df.withColumns({"oi_delta": change(oi), "oi_delta_usd": change(usd)})
+    return out.withColumns({"oi_delta_over_volume": F.col("oi_delta") / (F.col("volume") + 1e-12), "oi_delta_usd_over_quote_volume": F.col("oi_delta_usd") / (F.col("close") * F.col("volume") + 1e-12)})
+
+
+def availability(df: DataFrame, bar: str = "1 hour") -> DataFrame:
+    """Append bar_end_time and feature_time: a bar is known a millisecond after its end."""
+    end = F.col("t") + F.expr(f"interval {bar}")
+    return df.withColumns({"bar_end_time": end, "feature_time": end + F.expr("interval 1 millisecond")})
+
+
+def universe_size(dates: DataFrame, n_symbols: int) -> DataFrame:
+    """t, cs_universe_size, cs_coverage_frac of a calendar with counts."""
+    return dates.select("t", F.col("n_symbols").alias("cs_universe_size"), (F.col("n_symbols") / n_symbols).alias("cs_coverage_frac"))
 
 
 def relative_volume() -> Column:

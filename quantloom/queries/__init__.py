@@ -1,6 +1,6 @@
 """All queries of the engine and their SQL twins."""
 
-from quantloom.queries import expressions, market, more
+from quantloom.queries import expressions, ingest, market, more
 from quantloom.queries.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "expressions", "market", "more"]
+__all__ = ["QUERIES", "SQL", "expressions", "ingest", "market", "more"]

@@ -31,6 +31,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a local one only on a local master where none is set."""
+    import tempfile
+
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.gettempdir() + "/quantloom"
+
+
 def stamp(t: Column | str = "t") -> Column:
     return F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("t")
 
@@ -139,3 +150,25 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DAILY = f"with {bars_sql('day', 'user_id')}, {_GRID}, {_PANEL.format(fills=_fills(FIELDS))}"
+
+
+# --- line items dealt over the minutes of two days: every hour has dozens of minutes, some with wide ranges
+
+
+def dense_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, t, open, high, low, close, volume by minute."""
+    items = read(spark, sf_dir, "lineitem").select(*_KEY.split(", "))
+    minute = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_linenumber")) % 2880
+    tick = items.select(
+        F.concat(F.lit("S"), (F.col("l_linenumber") % 2).cast("string")).alias("symbol"), F.timestamp_seconds(F.lit(1704067200) + minute * 60).alias("t"),
+        (F.col("l_discount") * 300 + F.col("l_tax") * 100 + 100).alias("price"), F.struct(*_KEY.split(", ")).alias("key"), "l_quantity",
+    )
+    return tick.groupBy("symbol", "t").agg(F.min_by("price", "key").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "key").alias("close"), F.sum("l_quantity").alias("volume"))
+
+
+DENSE_MINUTES = f"""
+items as (select *, 'S' || (l_linenumber % 2) as symbol, timestamp '2024-01-01' + to_minutes(cast((l_orderkey * 31 + l_partkey * 7 + l_linenumber) % 2880 as bigint)) as t,
+  l_discount * 300 + l_tax * 100 + 100 as price from lineitem),
+bars as (
+  select symbol, t, first(price order by {_KEY}) as open, max(price) as high, min(price) as low, last(price order by {_KEY}) as close, sum(l_quantity) as volume
+  from items group by symbol, t)"""

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from quantloom.functions.parser import parse
 from quantloom.operators import backtest, bars, cleaning, cross_section, hygiene, indicators, panel
 from quantloom.operators.windows import history
+from quantloom.plans import backtest_files
 from quantloom.plans.compiler import evaluate
-from quantloom.queries.base import DAILY, FIELDS, HOURLY, TICKS, WEEKLY, WEEKLY_BARS, T, bars_sql, daily, event_bars, hourly, query, r, read, rounded, show, ticks, weekly, weekly_bars
+from quantloom.queries.base import DAILY, FIELDS, HOURLY, TICKS, WEEKLY, WEEKLY_BARS, T, bars_sql, daily, event_bars, hourly, query, r, read, rounded, shared_folder, show, ticks, weekly, weekly_bars
+from quantloom.sources import files
 
 # --- cross-section
 
@@ -48,7 +50,16 @@ _RANK_DAY = f"{FACTOR_SQL}{_RANKS}, day as (select t, count(a) as n, {_ic_sql('a
 
 query("ic_daily", f"{_DAY} select {T}, n, {r('ic', 6, 'ic')} from day")(lambda s, d: show(cross_section.ic_daily(factors(s, d, ("f1",)), "f1", "y"), keys=("t", "n"), ic="ic"))
 query("ic_mean", f"{_DAY} select {r('avg(ic)', 6, 'mean_ic')} from day")(lambda s, d: show(cross_section.ic_mean(cross_section.ic_daily(factors(s, d, ("f1",)), "f1", "y")), keys=(), mean_ic="mean_ic"))
-query("ic_mean_strict", f"{_DAY} select {r('case when count(ic) = count(*) then avg(ic) end', 6, 'mean_ic')} from day")(lambda s, d: show(cross_section.ic_mean(cross_section.ic_daily(factors(s, d, ("f1",)), "f1", "y"), True), keys=(), mean_ic="mean_ic"))
+
+
+@query("ic_mean_strict", f"{_DAY} select 'all' as bars, {r('case when count(ic) = count(*) then avg(ic) end', 6, 'mean_ic')} from day union all select 'with pairs', {r('case when count(ic) = count(*) then avg(ic) end', 6, 'mean_ic')} from day where n > 0")
+def ic_mean_strict(spark, sf_dir):
+    """NULL over all bars, as the first and last have no pairs; a number over those that have."""
+    days = cross_section.ic_daily(factors(spark, sf_dir, ("f1",)), "f1", "y")
+    means = [cross_section.ic_mean(own, True).withColumn("bars", F.lit(name)) for name, own in (("all", days), ("with pairs", days.where("n > 0")))]
+    return show(means[0].unionByName(means[1]), keys=("bars",), mean_ic="mean_ic")
+
+
 query("rank_ic_daily", f"{_RANK_DAY} select {T}, n, {r('ic', 6, 'ic')} from day")(lambda s, d: show(cross_section.rank_ic_daily(factors(s, d, ("f1",)), "f1", "y"), keys=("t", "n"), ic="ic"))
 query("rank_ic_mean", f"{_RANK_DAY} select {r('avg(ic)', 6, 'mean_ic')} from day")(lambda s, d: show(cross_section.ic_mean(cross_section.rank_ic_daily(factors(s, d, ("f1",)), "f1", "y")), keys=(), mean_ic="mean_ic"))
 query("icir", f"{_DAY} select {r('avg(ic)', 6, 'mean_ic')}, {r('stddev_samp(ic)', 6, 'ic_std')}, {r('avg(ic) / nullif(stddev_samp(ic), 0)', 6, 'icir')} from day")(lambda s, d: show(cross_section.icir(cross_section.ic_daily(factors(s, d, ("f1",)), "f1", "y")), keys=(), mean_ic="mean_ic", ic_std="ic_std", icir="icir"))
@@ -63,12 +74,31 @@ _Z = lambda c: f"({c} - avg({c}) over (partition by t)) / case when stddev_pop({
 _ENSEMBLE = f"case when coalesce(f1, f2, f3) is not null then {' + '.join(f'coalesce({w} * {_Z(c)}, 0)' for c, w in WEIGHTS.items())} end"
 query("ensemble_score", f"{FACTOR_SQL} select {T}, symbol, {r(_ENSEMBLE)} from fac")(lambda s, d: show(factors(s, d).withColumn("value", cross_section.ensemble(WEIGHTS)), value="value"))
 query("ensemble_turnover", f"{FACTOR_SQL}, s as (select t, symbol, {_ENSEMBLE} as v from fac), m as (select abs(v - lag(v) over ({_P})) as d from s) select {r('avg(d)', 6, 'turnover')} from m")(lambda s, d: show(cross_section.turnover(factors(s, d).withColumn("v", cross_section.ensemble(WEIGHTS)), "v"), keys=(), turnover="turnover"))
-
-
-@query("topk_feature_screen")
+_POOLED = f"{FACTOR_SQL}, s as (select t, {_ENSEMBLE} as f1, y from fac)"
+_POOL_IC = f"{_POOLED}, day as (select t, {_ic_sql('f1', 'y')} as ic from s group by t) select avg(ic) as ic from day"
+_POOL_RANK = f"{_POOLED}{_RANKS.replace('from fac', 'from s')}, day as (select t, {_ic_sql('a', 'b')} as ic from ranked group by t) select avg(ic) as rank_ic from day"
+query("pool_ic", f"select {r('ic', 6, 'ic')}, {r('rank_ic', 6, 'rank_ic')} from ({_POOL_IC}), ({_POOL_RANK})")(lambda s, d: show(cross_section.pool_ic(factors(s, d), WEIGHTS, "y"), keys=(), ic="ic", rank_ic="rank_ic"))
+_PLAIN = " + ".join(f"coalesce({w} * {_Z(c)}, 0)" for c, w in WEIGHTS.items())
+query("ensemble_plain", f"{FACTOR_SQL} select {T}, symbol, {r(_PLAIN, 2)} from fac")(lambda s, d: show(factors(s, d).withColumn("value", cross_section.ensemble(WEIGHTS, missing="zero")), 2, value="value"))
+# greedy choices as recursive queries: one column, or one pair of columns, a step
+_IC3 = f"""ic as (select feature, avg(c / (sx * sy)) as ic from (select feature, t, covar_pop(x, y) as c, stddev_pop(x) as sx, stddev_pop(y) as sy, count(*) as n
+  from (select t, feature, x, y from (select t, y, f1, f2, f3 from fac) unpivot (x for feature in (f1, f2, f3)) where y is not null) where x is not null group by 1, 2) where n >= 2 and sx > 0 and sy > 0 group by feature),
+day as (select t, {', '.join(f'{_ic_sql(a, b)} as p{a}{b}' for a, b in combinations(('f1', 'f2', 'f3'), 2))} from fac group by t),
+two as (select a, b, abs(ic) as ic from ({_MUTUAL}) union all select b, a, abs(ic) from ({_MUTUAL})),
+ranked as (select feature, row_number() over (order by abs(ic) desc, feature) as i from ic)"""
+
+
+@query(
+    "topk_feature_screen",
+    f"""{FACTOR_SQL.replace('with ', 'with recursive ', 1)}, {_IC3},
+walk as (select cast(0 as bigint) as i, cast([] as varchar[]) as chosen
+  union all select k.i, case when len(chosen) < 2 and not exists (select 1 from two where two.a = k.feature and list_contains(chosen, two.b) and two.ic >= 0.9) then list_append(chosen, k.feature) else chosen end
+  from walk join ranked k on k.i = walk.i + 1)
+select cast(unnest(range(len(chosen))) as bigint) as k, unnest(chosen) as feature from walk where i = (select max(i) from walk)""",
+)
 def topk(spark, sf_dir):
     chosen = cross_section.top_features(factors(spark, sf_dir), ["f1", "f2", "f3"], "y", 2, 0.9)
-    return spark.createDataFrame([*enumerate(chosen)], "k int, feature string")
+    return spark.createDataFrame([*enumerate(chosen)], "k long, feature string")
 
 
 # --- panels
@@ -100,10 +130,10 @@ query("bars_micro", f"with {bars_sql('minute')}, m as (select *, close / nullif(
 def funding(spark, sf_dir):
     """A sparse series: eight-hourly means of ticks, some minutes off the hour."""
     eight = F.timestamp_seconds(F.floor(F.col("ts").cast("double") / 28800) * 28800 + 420)
-    return ticks(spark, sf_dir).groupBy("symbol", eight.alias("t")).agg((F.avg("price") / 10000).alias("rate"))
+    return ticks(spark, sf_dir).groupBy("symbol", eight.alias("t")).agg(((F.avg("price") - 50) / 10000).alias("rate"))
 
 
-_FUND = "fund as (select symbol, to_timestamp(floor(epoch(ts) / 28800) * 28800 + 420)::timestamp as t, avg(price) / 10000 as rate from ticks group by 1, 2)"
+_FUND = "fund as (select symbol, to_timestamp(floor(epoch(ts) / 28800) * 28800 + 420)::timestamp as t, (avg(price) - 50) / 10000 as rate from ticks group by 1, 2)"
 query("asof_backward", f"{HOURLY}, {_FUND} select strftime(cast(b.t as timestamp), '%Y-%m-%d %H:%M:%S') as t, b.symbol, {r('f.rate', 8, 'rate')} from bars b asof left join fund f on b.symbol = f.symbol and b.t >= f.t")(lambda s, d: show(bars.asof_backward(hourly(s, d), funding(s, d), "rate"), 8, rate="rate"))
 query("asof_exact_ffill", f"{HOURLY}, {_FUND}, f2 as (select symbol, t - interval 7 minute as t, rate from fund), j as (select b.t, b.symbol, f.rate from bars b left join f2 f on b.symbol = f.symbol and b.t = f.t) select {T}, symbol, {r(_LAST.format('rate'), 8, 'rate')} from j")(lambda s, d: show(bars.asof_exact(hourly(s, d), funding(s, d).withColumn("t", F.col("t") - F.expr("interval 7 minutes")), "rate"), 8, rate="rate"))
 query("funding_grid_ffill", f"with {TICKS.format(symbol='event_type')}, {_FUND}, g as (select symbol, unnest(generate_series(date_trunc('hour', min(t)), timestamp '2024-01-31', interval 1 hour)) as t from fund group by symbol) select strftime(cast(g.t as timestamp), '%Y-%m-%d %H:%M:%S') as t, g.symbol, {r('f.rate', 8, 'rate')} from g asof left join fund f on g.symbol = f.symbol and g.t >= f.t")(lambda s, d: show(bars.funding_grid(funding(s, d), "2024-01-31"), 8, rate="rate"))
@@ -134,8 +164,12 @@ for _mode, _under in (("fixed", "1830.0"), ("present", "sum(minute(t) + 1)")):
 query("metrics_last", f"with {TICKS.format(symbol='event_type')}, m as (select symbol, ts as t, event_id, case when maker then quantity end as oi from ticks) select strftime(date_trunc('hour', t), '%Y-%m-%d %H:%M:%S') as t, symbol, {r('arg_max(oi, t) filter (where oi is not null)', 6, 'oi')} from m group by symbol, date_trunc('hour', m.t)")(lambda s, d: show(bars.last_by_hour(ticks(s, d).select("symbol", F.col("ts").alias("t"), F.when(F.col("maker"), F.col("quantity")).alias("oi")), ["oi"]), oi="oi"))
 _LIQ = ["long_qty", "long_notional", "short_qty", "short_notional"]
 query("liquidation_sides", f"with {TICKS.format(symbol='event_type')}, l as (select distinct symbol, ts, case when maker then 'SELL' else 'BUY' end as side, quantity, price from ticks), h as (select symbol, date_trunc('hour', ts) as t, sum(case when side = 'SELL' then quantity else 0 end) as long_qty, sum(case when side = 'SELL' then price * quantity else 0 end) as long_notional, sum(case when side = 'BUY' then quantity else 0 end) as short_qty, sum(case when side = 'BUY' then price * quantity else 0 end) as short_notional, count(*) as n from l group by 1, 2) select {T}, symbol, n, {', '.join(r(c, 4, c) for c in _LIQ)} from h")(lambda s, d: show(bars.liquidations((o := ticks(s, d).select("symbol", F.col("ts").alias("t"), F.when(F.col("maker"), "SELL").otherwise("BUY").alias("side"), "quantity", "price")).unionByName(o)), 4, ("t", "symbol", "n"), **{c: c for c in _LIQ}))
+query("liquidation_summary", f"with {TICKS.format(symbol='event_type')}, h as (select symbol, date_trunc('hour', ts) as t, sum(quantity) as liq_amount, avg(price) as liq_price, count(case when maker then 1 end) as liq_long_count from ticks group by 1, 2) select {T}, symbol, {r('liq_amount', 4, 'liq_amount')}, {r('liq_price', 4, 'liq_price')}, liq_long_count from h")(lambda s, d: show(bars.liquidation_summary(ticks(s, d).select("symbol", F.col("ts").alias("t"), F.when(F.col("maker"), "SELL").otherwise("BUY").alias("side"), "quantity", "price")), 4, ("t", "symbol", "liq_long_count"), liq_amount="liq_amount", liq_price="liq_price"))
 query("taker_ratio", f"with {TICKS.format(symbol='event_type')}, h as (select symbol, date_trunc('hour', ts) as t, coalesce(sum(case when not maker then quantity else 0 end) / nullif(sum(quantity), 0), 0.5) as x from ticks group by 1, 2) select {T}, symbol, {r('x', 6, 'taker_ratio')} from h")(lambda s, d: show(bars.taker_ratio(ticks(s, d)), taker_ratio="taker_ratio"))
 query("adjust_forward", f"{WEEKLY}, f as (select *, 1 + (symbol % 5) * 0.1 + case when t >= timestamp '1998-01-05' then 0.5 else 0 end as factor from panel) select {T}, symbol, {r(f'close * (factor / last_value(factor) over ({_P} rows between unbounded preceding and unbounded following))', 6, 'close')}, {r(f'volume / (factor / last_value(factor) over ({_P} rows between unbounded preceding and unbounded following))', 6, 'volume')} from f")(lambda s, d: show(bars.adjust_forward(weekly(s, d).withColumn("factor", 1 + (F.col("symbol") % 5) * 0.1 + F.when(F.col("t") >= "1998-01-05", 0.5).otherwise(0.0))), 6, close="close", volume="volume"))
+_factored = lambda s, d: weekly(s, d).withColumn("factor", 1 + (F.col("symbol") % 5) * 0.1 + F.when(F.col("t") >= "1998-01-05", 0.5).otherwise(0.0))
+_AS_OF = f"last_value(case when t <= timestamp '1997-06-02' then factor end ignore nulls) over ({_P} rows between unbounded preceding and unbounded following)"
+query("adjust_as_of", f"{WEEKLY}, f as (select *, 1 + (symbol % 5) * 0.1 + case when t >= timestamp '1998-01-05' then 0.5 else 0 end as factor from panel) select {T}, symbol, {r(f'close * (factor / {_AS_OF})', 6, 'close')}, {r(f'volume / (factor / {_AS_OF})', 6, 'volume')} from f")(lambda s, d: show(bars.adjust_forward(_factored(s, d), as_of="1997-06-02"), 6, close="close", volume="volume"))
 
 # --- cleaning
 
@@ -168,7 +202,6 @@ INDICATORS = {
     "ind_bb_width": (lambda: indicators.bollinger_width(24), _full("close", f"4 * stddev_samp(close) over ({_N}) / avg(close) over ({_N})"), 6),
     "rolling_vwap": (lambda: indicators.rolling_vwap(24), f"sum((high + low + close) / 3 * volume) over ({_N}) / sum(volume) over ({_N})", 3),
     "turnover_ratio": (lambda: indicators.turnover_ratio(24), f"volume / nullif({_full('volume', f'avg(volume) over ({_N})')}, 0)", 6),
-    "price_efficiency": (lambda: indicators.price_efficiency(F.col("step"), 24), f"abs(close - lag(close, 24) over ({_P})) / nullif({_full('step', f'sum(step) over ({_N})')}, 0)", 6),
     "returns_multi": (lambda: indicators.simple_return(k=24), f"close / lag(close, 24) over ({_P}) - 1", 6),
     "relative_volume": (indicators.relative_volume, "volume / nullif(avg(volume) over (partition by t), 0)", 6),
     "funding_pressure": (lambda: indicators.funding_pressure("vwap"), "vwap - median(vwap) over (partition by t)", 4),
@@ -187,8 +220,15 @@ def _indicator(name, column, sql, digits):
 
 for _name, (_column, _sql, _digits) in INDICATORS.items():
     _indicator(_name, _column, _sql, _digits)
-_RV = lambda n: f"case when count(ret) over ({_P} rows between {n - 1} preceding and current row) = {n} then stddev_samp(ret) over ({_P} rows between {n - 1} preceding and current row) end"
-query("vol_regime", f"{_STAGED} select {T}, symbol, {r(f'({_RV(5)}) / nullif({_RV(24)}, 0)')} from x")(lambda s, d: show(_staged(s, d).withColumns({"a": cleaning.rolling(F.col("ret"), 5, F.stddev_samp), "b": cleaning.rolling(F.col("ret"), 24, F.stddev_samp)}).withColumn("value", indicators.vol_regime(F.col("a"), F.col("b"))), value="value"))
+_vols = lambda s, d: _staged(s, d).withColumns({"vol": indicators.realised_vol(F.col("ret"), 24), "range": indicators.atr(F.col("tr"), 24)})
+_VOLS = f"{_STAGED}, v as (select *, {_full('ret', f'stddev_samp(ret) over ({_N}) * sqrt(24.0)')} as vol, {_full('tr', f'avg(tr) over ({_N})')} as range from x)"
+query("price_efficiency", f"{_VOLS} select {T}, symbol, {r('vol / nullif(range / nullif(close, 0), 0)')} from v")(lambda s, d: show(_vols(s, d).withColumn("value", indicators.price_efficiency(F.col("vol"), F.col("range"))), value="value"))
+query("vol_regime", f"{_VOLS} select {T}, symbol, {r(f'vol / nullif({_full("vol", f'avg(vol) over ({_N})')}, 0)')} from v")(lambda s, d: show(_vols(s, d).withColumn("value", indicators.vol_regime(F.col("vol"), 24)), value="value"))
+_OI = {"oi_delta": f"volume - lag(volume) over ({_P})", "oi_delta_usd": f"volume * close - lag(volume * close) over ({_P})"}
+_OI |= {"oi_delta_over_volume": f"({_OI['oi_delta']}) / (volume + 1e-12)", "oi_delta_usd_over_quote_volume": f"({_OI['oi_delta_usd']}) / (close * volume + 1e-12)"}
+query("oi_features", f"{WEEKLY} select {T}, symbol, {', '.join(r(v, 4, k) for k, v in _OI.items())} from panel")(lambda s, d: show(indicators.open_interest(weekly(s, d).withColumns({"oi_open_interest": F.col("volume"), "oi_open_interest_usd": F.col("volume") * F.col("close")})), 4, **{k: k for k in _OI}))
+query("bar_times", f"{HOURLY} select {T}, symbol, strftime(t + interval 1 hour, '%Y-%m-%d %H:%M:%S') as bar_end_time, strftime(t + interval 1 hour + interval 1 millisecond, '%Y-%m-%d %H:%M:%S.%g') as feature_time from bars")(lambda s, d: show(indicators.availability(hourly(s, d)).withColumns({"bar_end_time": F.date_format("bar_end_time", "yyyy-MM-dd HH:mm:ss"), "feature_time": F.date_format("feature_time", "yyyy-MM-dd HH:mm:ss.SSS")}), keys=("t", "symbol", "bar_end_time", "feature_time")))
+query("universe_size", f"{HOURLY}, c as (select t, count(*) as n from bars group by t) select {T}, n as cs_universe_size, {r('n * 1.0 / (select count(distinct symbol) from bars)', 6, 'cs_coverage_frac')} from c where n >= greatest(1, (select count(distinct symbol) from bars) // 2)")(lambda s, d: show(indicators.universe_size(panel.calendar(hourly(s, d)), hourly(s, d).select("symbol").distinct().count()), keys=("t", "cs_universe_size"), cs_coverage_frac="cs_coverage_frac"))
 
 # --- hygiene
 
@@ -207,13 +247,36 @@ _NUM, _DEN = " + ".join(f"coalesce({c} * {w}, 0)" for c, w in _DW.items()), " +
 query("dynamic_score", f"{FACTOR_SQL} select {T}, symbol, {r(f'case when {_DEN} > 0 then ({_NUM}) / ({_DEN}) end', 5, 'score')}, {' + '.join(f'case when {c} is not null then 1 else 0 end' for c in _DW)} as n_used from fac")(lambda s, d: show(hygiene.dynamic_score(factors(s, d), _DW), 5, ("t", "symbol", "n_used"), score="score"))
 
 
-@query("prune_greedy")
-def prune(spark, sf_dir):
-    df = factors(spark, sf_dir).withColumns({"f4": F.col("f2") * 2 + 1, "flat": F.lit(1.0)})
-    return spark.createDataFrame(hygiene.prune_greedy(df, ["f1", "f2", "f3", "f4", "flat"]), "feature string, kept boolean, reason string")
+_WIDE = ["f1", "f2", "f3", "f4", "flat"]
+_WIDE_SQL = f"{FACTOR_SQL.replace('with ', 'with recursive ', 1)}, wide as (select *, f2 * 2 + 1 as f4, 1.0 as flat from fac)"
+_STAT = "stat as (" + " union all ".join(f"select '{c}' as feature, count({c}) * 1.0 / count(*) as coverage, stddev_samp({c}) as std from wide" for c in _WIDE) + ")"
+_ALIKE = "alike as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, abs(covar_pop({a}, {b}) / nullif(sqrt(var_pop({a})) * sqrt(var_pop({b})), 0)) as corr from wide where {a} is not null and {b} is not null" for a, b in combinations(_WIDE, 2)) + "), two as (select * from alike union all select b, a, corr from alike)"
 
 
-@query("prune_v1")
+@query(
+    "prune_greedy",
+    f"""{_WIDE_SQL}, {_STAT}, {_ALIKE}, ranked as (select *, row_number() over (order by coverage desc, feature) as i from stat),
+walk as (select cast(0 as bigint) as i, cast([] as varchar[]) as chosen, '' as feature, '' as reason
+  union all select i, case when reason = '' then list_append(chosen, feature) else chosen end, feature, reason from (
+    select k.i, chosen, k.feature, case when coverage < 0.5 then 'coverage' when coalesce(std, 0) <= 1e-12 then 'constant'
+      when exists (select 1 from two where two.a = k.feature and list_contains(chosen, two.b) and two.corr > 0.95) then 'correlated' else '' end as reason
+    from walk join ranked k on k.i = walk.i + 1))
+select feature, reason = '' as kept, reason from walk where i > 0""",
+)
+def prune(spark, sf_dir):
+    df = factors(spark, sf_dir).withColumns({"f4": F.col("f2") * 2 + 1, "flat": F.lit(1.0)})
+    return spark.createDataFrame(hygiene.prune_greedy(df, _WIDE), "feature string, kept boolean, reason string")
+
+
+@query(
+    "prune_v1",
+    f"""{_WIDE_SQL}, {_STAT}, {_ALIKE}, pairs as (select a, b, corr, row_number() over (order by a, b) as i from alike where a <> 'flat' and b <> 'flat'),
+walk as (select cast(0 as bigint) as i, (select coalesce(list(feature), cast([] as varchar[])) from stat where coverage < 0.3 and feature <> 'flat') as gone
+  union all select p.i, case when not list_contains(gone, p.a) and not list_contains(gone, p.b) and p.corr > 0.95
+    then list_append(gone, case when x.coverage < y.coverage then p.a else p.b end) else gone end
+  from walk join pairs p on p.i = walk.i + 1 join stat x on x.feature = p.a join stat y on y.feature = p.b)
+select feature, not list_contains((select gone from walk where i = (select max(i) from walk)), feature) as kept from stat where feature <> 'flat'""",
+)
 def prune_v1(spark, sf_dir):
     return spark.createDataFrame(hygiene.prune_pairwise(factors(spark, sf_dir).withColumn("f4", F.col("f2") * 2 + 1), ["f1", "f2", "f3", "f4"]), "feature string, kept boolean")
 
@@ -228,6 +291,7 @@ k as (select *, greatest(1, cast(floor(n * 0.2) as bigint)) as m,
 l as (select *, case when 2 * m > n then cast(floor(n / 2.0) as bigint) else m end as q from k),
 w as (select t, symbol, score, ret, case when ok = 0 or n < 2 then 0.0 when u <= q then 0.005 / q when d <= q then -0.005 / q else 0.0 end as w from l)"""
 _scored = lambda s, d: backtest.forward_return(factors(s, d, ("f1",), keep=("close",)).withColumnRenamed("f1", "score"))
+_wide = _WEIGHT.replace("floor(n * 0.2)", "floor(n * 0.6)").replace("l as (select *, case when 2 * m > n then cast(floor(n / 2.0) as bigint) else m end as q from k)", "l as (select *, case when 2 * m > n then cast(floor(n / 2.0) as bigint) else m end as q, case when 2 * m > n then n - cast(floor(n / 2.0) as bigint) else m end as p from k)").replace("when d <= q then -0.005 / q", "when d <= p then -0.005 / p")
 _curve = lambda s, d: backtest.long_short_curve(backtest.long_short_weights(_scored(s, d), gross=0.01), 10.0)
 _CURVE = f"""{_WEIGHT}, mv as (select *, abs(w - lag(w, 1, 0.0) over ({_P})) as m from w),
 b as (select t, cast(sum(case when w > 0 then 1 else 0 end) as bigint) as n_long, cast(sum(case when w < 0 then 1 else 0 end) as bigint) as n_short, 0.5 * sum(m) as turnover, sum(w * coalesce(ret, 0)) as gross from mv group by t),
@@ -235,17 +299,48 @@ e as (select *, gross - 10.0 * 1e-4 * turnover as net from b),
 q as (select *, product(1 + coalesce(net, 0)) over (order by t rows between unbounded preceding and current row) as equity from e),
 c as (select *, max(equity) over (order by t rows between unbounded preceding and current row) as peak from q), curve as (select *, equity / peak - 1 as drawdown from c)"""
 query("ls_weights", f"{_WEIGHT} select {T}, symbol, {r('w', 8, 'w')} from w")(lambda s, d: show(backtest.long_short_weights(_scored(s, d), gross=0.01), 8, w="w"))
+query("ls_weights_overlap", f"{_wide} select {T}, symbol, {r('w', 8, 'w')} from w")(lambda s, d: show(backtest.long_short_weights(_scored(s, d), 0.6, 0.6, gross=0.01), 8, w="w"))
 query("ls_curve", f"{_CURVE} select {T}, n_long, n_short, {', '.join(r(x, 6, x) for x in ('turnover', 'gross', 'net'))}, {r('ln(equity)', 6, 'log_equity')}, {r('drawdown', 6, 'drawdown')} from curve")(lambda s, d: show(_curve(s, d), 6, ("t", "n_long", "n_short"), turnover="turnover", gross="gross", net="net", log_equity=F.ln("equity"), drawdown="drawdown"))
 _YEAR = 365 / 7
-query("ls_summary", f"{_CURVE} select {r(f'ln(power(1 + avg(net), {_YEAR}))', 6, 'log_ann')}, {r(f'stddev_pop(net) * sqrt({_YEAR})', 6, 'ann_vol')}, {r(f'avg(net) / stddev_pop(net) * sqrt({_YEAR})', 6, 'sharpe')}, {r('min(drawdown)', 6, 'max_drawdown')}, {r('avg(turnover)', 6, 'avg_turnover')}, {r('ln(arg_max(equity, t))', 6, 'log_equity')}, count(*) as n from curve")(lambda s, d: show(backtest.summarise(_curve(s, d), F.col("net"), _YEAR, F.col("turnover")), 6, ("n",), log_ann=F.ln(F.col("ann_return") + 1), ann_vol="ann_vol", sharpe="sharpe", max_drawdown="max_drawdown", avg_turnover="avg_turnover", log_equity=F.ln("final_equity")))
-_GROUPS = f"{_SCORE}, g as (select t, ret, ntile(5) over (partition by t order by score, symbol) as g, count(*) over (partition by t) as n from v where ok = 1), quant as (select t, {', '.join(f'avg(case when g = {k} and n >= 5 then ret end) as q{k}' for k in range(1, 6))} from g group by t)"
+query("ls_summary", f"{_CURVE} select {r(f'ln(power(1 + avg(net), {_YEAR}))', 6, 'log_ann')}, {r(f'stddev_pop(net) * sqrt({_YEAR})', 6, 'ann_vol')}, {r(f'(power(1 + avg(net), {_YEAR}) - 1) / (stddev_pop(net) * sqrt({_YEAR}))', 6, 'sharpe')}, {r('min(drawdown)', 6, 'max_drawdown')}, {r('avg(turnover)', 6, 'avg_turnover')}, {r('ln(arg_max(equity, t))', 6, 'log_equity')}, count(*) as n from curve")(lambda s, d: show(backtest.summarise(_curve(s, d), F.col("net"), _YEAR, F.col("turnover")), 6, ("n",), log_ann=F.ln(F.col("ann_return") + 1), ann_vol="ann_vol", sharpe="sharpe", max_drawdown="max_drawdown", avg_turnover="avg_turnover", log_equity=F.ln("final_equity")))
+_GROUPS = f"{_SCORE}, g as (select t, ret, ntile(5) over (partition by t order by score, symbol) as g, count(*) over (partition by t) as n from v where ok = 1), quant as (select t, {', '.join(f'avg(case when g = {k} and n >= 5 then g.ret end) as q{k}' for k in range(1, 6))} from (select distinct t from v) left join g using (t) group by t)"
 _groups = lambda s, d: backtest.quantile_returns(_scored(s, d), 5)
 query("quantile_returns", f"{_GROUPS} select {T}, {', '.join(r(f'q{k}', 6, f'q{k}') for k in range(1, 6))} from quant")(lambda s, d: show(_groups(s, d), 6, ("t",), **{f"q{k}": f"q{k}" for k in range(1, 6)}))
 query("quantile_spreads", f"{_GROUPS} select {T}, {r('q5 - q1', 6, 'spread')}, {r('(q4 + q5) / 2 - (q1 + q2) / 2', 6, 'wide')} from quant")(lambda s, d: show(backtest.quantile_spreads(_groups(s, d), 5, 2, 2), 6, ("t",), spread="spread", wide="wide"))
 query("quantile_summary", f"{_GROUPS}, e as (select t, q5 - q1 as net from quant), q as (select *, product(1 + coalesce(net, 0) * 0.001) over (order by t rows between unbounded preceding and current row) as equity from e), c as (select *, equity / max(equity) over (order by t rows between unbounded preceding and current row) - 1 as drawdown from q) select {r('avg(net * 0.001)', 6, 'mean')}, {r('stddev_pop(net * 0.001)', 6, 'std')}, {r('min(drawdown)', 6, 'max_drawdown')}, count(*) as n from c")(lambda s, d: show(backtest.equity(backtest.quantile_spreads(_groups(s, d), 5).withColumn("x", F.col("spread") * 0.001), "x").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("drawdown").alias("dd"), F.count(F.lit(1)).alias("n")), 6, ("n",), mean="mean", std="std", max_drawdown="dd"))
 
 
-@query("topk_swap")
+@query(
+    "topk_swap",
+    f"""{DAILY.replace('with ', 'with recursive ', 1)}, days as (
+  select t, row_number() over (order by t) as i, list(struct_pack(s := symbol, v := close - open) order by close - open desc, symbol) as signals
+  from panel where close - open is not null group by t),
+walk as (select cast(0 as bigint) as i, cast([] as bigint[]) as held
+  union all select i, list_concat(list_filter(held, lambda x: not list_contains(sold, x)), list_transform(wanted[1:len(sold) + greatest(0, 5 - len(held))], lambda x: x.s)) from (
+    select i, held, wanted, list_transform(unwanted[1:len(list_filter(list_zip(wanted[1:least(len(wanted), len(unwanted))], unwanted[1:least(len(wanted), len(unwanted))]), lambda z: z[1].v > z[2].v))], lambda x: x.s) as sold from (
+      select d.i, held, list_filter(signals, lambda x: not list_contains(held, x.s)) as wanted, list_reverse(list_filter(signals, lambda x: list_contains(held, x.s))) as unwanted
+      from walk join days d on d.i = walk.i + 1)))
+select strftime(cast(t as timestamp), '%Y-%m-%d') as t, unnest(held) as symbol from walk join days using (i)""",
+)
 def swap(spark, sf_dir):
     scored = evaluate(daily(spark, sf_dir), {"score": parse("Sub($close,$open)")})
-    return backtest.topk_swap(scored, 5, 1).select(F.date_format("t", "yyyy-MM-dd").alias("t"), "symbol")
+    return backtest.topk_swap(scored, 5, 0).select(F.date_format("t", "yyyy-MM-dd").alias("t"), "symbol")
+
+
+_FILE = f"""{FACTOR_SQL}, sc as (select t, symbol, {' + '.join(f'coalesce({w} * ({c} - avg({c}) over (partition by t)) / nullif(stddev_pop({c}) over (partition by t), 0), 0)' for c, w in (('f1', 1.0), ('f2', -0.5)))} as score0, f1, f2, y as ret from fac),
+v0 as (select t, symbol, case when coalesce(f1, f2) is not null then score0 end as score, ret from sc), v as (select *, case when score is not null and ret is not null then 1 else 0 end as ok from v0)"""
+
+
+@query("files_to_backtest", _CURVE.replace(_SCORE, _FILE).replace("0.005", "0.01") + f" select {r('sum(net)', 6, 'net')}, {r('sum(turnover)', 6, 'turnover')}, count(*) as n from curve")
+def files_to_backtest(spark, sf_dir):
+    """The weekly panel's raw bars written as CSV by symbol, and a factor file, read back and run."""
+    import json
+    import uuid
+
+    out = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows = weekly_bars(spark, sf_dir).withColumn("datetime", F.date_format("t", "yyyy-MM-dd HH:mm:ss")).drop("t")
+    files.write_csv(rows, f"{out}/prices", by="symbol")
+    text = json.dumps({"exprs": [FACTORS["f1"], FACTORS["f2"]], "weights": [1.0, -0.5]})
+    spark.range(1).select(F.lit(text)).coalesce(1).write.text(f"{out}/factors.json")
+    found = backtest_files.run(spark, f"{out}/factors.json", f"{out}/prices", timeframe="1w", gross=0.02, cost_bps=10.0)
+    return show(found["curve"].agg(F.sum("net").alias("net"), F.sum("turnover").alias("turnover"), F.count(F.lit(1)).alias("n")), keys=("n",), net="net", turnover="turnover")

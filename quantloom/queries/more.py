@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from quantloom.functions import surrogate
-from quantloom.operators import bars, intrahour, panel
-from quantloom.queries.base import TICKS, WEEKLY, bars_sql, event_bars, query, r, show, ticks, weekly
+from quantloom.operators import intrahour
+from quantloom.queries.base import DENSE_MINUTES, TICKS, WEEKLY, dense_minutes, query, r, shared_folder, show, weekly
 from quantloom.sources import files
 from quantloom.streaming import bars as stream
 
-_minutes = lambda s, d: event_bars(s, d, "minute").select("symbol", "t", "open", "high", "low", "close", "volume")
-_kept = lambda s, d: intrahour.minutes(_minutes(s, d))
+_kept = lambda s, d: intrahour.minutes(dense_minutes(s, d))
 H = "strftime(cast(h as timestamp), '%Y-%m-%d %H:%M:%S') as h"
 _O = "partition by symbol, h order by t"
-KEPT = f"""with {bars_sql('minute')}, a as (select symbol, t, open, high, low, close, volume, date_trunc('hour', t) as h, high / nullif(low, 0) as ratio from bars),
+KEPT = f"""with {DENSE_MINUTES}, a as (select symbol, t, open, high, low, close, volume, date_trunc('hour', t) as h, high / nullif(low, 0) as ratio from bars),
 b as (select *, count(*) over (partition by symbol, h) as all_n, sum(case when coalesce(ratio <= 1.2, false) then 1 else 0 end) over (partition by symbol, h) as good_n, max(ratio) over (partition by symbol, h) as ratio_max from a),
 c as (select * from b where coalesce(ratio <= 1.2, false) or good_n < 10),
 k as (select *, row_number() over ({_O}) - 1 as i, minute(t) as m, ln(close / nullif(lag(close) over ({_O}), 0)) as r1, coalesce(ln(close / nullif(lag(close) over ({_O}), 0)), 0) as r,
@@ -83,8 +80,7 @@ _hourly("ih_qrs", intrahour.trends, _QRS, 5)
 query("ih_stability", f"{KEPT}, o as (select symbol, h, stddev_pop(r) * sqrt(60.0) as x from k group by symbol, h) select symbol, {H}, {r('case when count(x) over w = 24 then x / (avg(x) over w + 1e-12) end', 6, 'rv_stability')} from o window w as (partition by symbol order by h rows between 23 preceding and current row)")(lambda s, d: _show(intrahour.stability(intrahour.realised(_kept(s, d))), 6, rv_stability="rv_stability_24h"))
 
 # New York is five hours behind UTC in all of the fixture's days (January).
-_spread = lambda s, d: _minutes(s, d).withColumn("t", F.date_trunc("hour", "t") + F.expr("interval 1 minute") * F.when(F.minute("t") < 30, 30).otherwise(29)).groupBy("symbol", "t").agg(*(F.max(c).alias(c) for c in ("open", "high", "low", "close", "volume")))
-query("ih_us_open", f"with {bars_sql('minute')}, p as (select symbol, date_trunc('hour', t) + case when minute(t) < 30 then interval 30 minute else interval 29 minute end as t, max(open) as open, max(close) as close from bars group by 1, 2), g as (select symbol, cast(t - interval 5 hour as date) as d, max(case when strftime(t - interval 5 hour, '%H:%M') = '09:30' then open end) as a, max(case when strftime(t - interval 5 hour, '%H:%M') = '10:29' then close end) as b, max(case when strftime(t - interval 5 hour, '%H:%M') = '10:29' then t end) as stamp from p group by 1, 2) select symbol, strftime(date_trunc('hour', stamp), '%Y-%m-%d %H:%M:%S') as h, {r('ln(b / a)', 6, 'seg_us_open_60m_logret')} from g where a is not null and b is not null")(lambda s, d: _show(intrahour.us_open(_spread(s, d)), 6, "seg_us_open_60m_logret"))
+query("ih_us_open", f"with {DENSE_MINUTES}, g as (select symbol, cast(t - interval 5 hour as date) as d, max(case when strftime(t - interval 5 hour, '%H:%M') = '09:30' then open end) as a, max(case when strftime(t - interval 5 hour, '%H:%M') = '10:29' then close end) as b, max(case when strftime(t - interval 5 hour, '%H:%M') = '10:29' then t end) as stamp from bars group by 1, 2) select symbol, strftime(date_trunc('hour', stamp), '%Y-%m-%d %H:%M:%S') as h, {r('ln(b / a)', 6, 'seg_us_open_60m_logret')} from g where a is not null and b is not null")(lambda s, d: _show(intrahour.us_open(dense_minutes(s, d)), 6, "seg_us_open_60m_logret"))
 
 # --- surrogate
 
@@ -120,21 +116,14 @@ query("n_step_return", f"select user_id, {r('list_sum(list_transform(list(value
 query("float32_store_roundtrip", f"{WEEKLY} select strftime(cast(t as timestamp), '%Y-%m-%d %H:%M:%S') as t, symbol, field, {r('cast(cast(value as float) as double)', 2)} from (select t, symbol, close, volume from panel) unpivot include nulls (value for field in (close, volume))")(lambda s, d: show(files.from_float32_store(files.to_float32_store((p := weekly(s, d)), (c := p.select("t").distinct()), ["close", "volume"]), c), 2, ("t", "symbol", "field"), value="value"))
 
 
-@query("symbol_groups", "select symbol, k from (values ('BTCUSDT', 1), ('ETHUSDT', 2), ('ADAUSDT', 3)) as v(symbol, k)")
-def symbol_groups(spark, sf_dir):
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, ["ADAUSDT", "ETHUSDT", "XRPUSDT", "BTCUSDT"]))).alias("symbol"))
-    return files.resolve_symbols(names, "top3", ["BTC/USDT:USDT", "ETH_USDT"])
-
-
 @query("stream_hourly_bars", f"""with {TICKS.format(symbol='event_type')}, last as (select date_trunc('hour', max(ts)) as t from ticks),
 h as (select symbol, date_trunc('hour', ts) as t, first(price order by ts, event_id) as open, max(price) as high, min(price) as low, last(price order by ts, event_id) as close, sum(quantity) as volume, sum(price * quantity) / nullif(sum(quantity), 0) as vwap from ticks group by 1, 2)
 select strftime(cast(h.t as timestamp), '%Y-%m-%d %H:%M:%S') as t, symbol, {', '.join(r(c, 8, c) for c in ('open', 'high', 'low', 'close', 'volume', 'vwap'))} from h, last where h.t < last.t""")
 def stream_hourly(spark, sf_dir):
     """The stream's finished hours: all but the last, which a later tick could still join."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantloom-")
     import uuid
 
-    out = f"{shared}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     live = spark.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/event[s].parquet")
     qty = F.regexp_extract("props", r"(\d+)", 1).cast("double")
@@ -148,5 +137,3 @@ def _is_folder(spark, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
-
-__all__ = ["bars", "panel", "ticks"]

@@ -26,6 +26,14 @@ def timestamp(x: Column) -> Column:
     return F.coalesce(F.timestamp_millis(text.try_cast("bigint")), F.try_to_timestamp(F.regexp_replace(text, "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")), text.try_cast("timestamp"))
 
 
+def timestamps(df: DataFrame, column: str, share: float = 0.98) -> DataFrame:
+    """A text column as timestamps: milliseconds since 1970 if over ``share`` of its values are numbers, else dates in ISO form."""
+    text = F.trim(F.col(column).cast("string"))
+    numbers = df.agg(F.avg(text.try_cast("double").isNotNull().cast("int"))).first()[0] or 0.0
+    iso = F.coalesce(F.try_to_timestamp(F.regexp_replace(text, "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")), text.try_cast("timestamp"))
+    return df.withColumn(column, F.timestamp_millis(text.try_cast("double").cast("bigint")) if numbers > share else iso)
+
+
 def read_csv(spark: SparkSession, path: str | list[str], columns: tuple[str, ...] | None = None) -> DataFrame:
     """A CSV file as text columns; with ``columns`` there need be no header, and one that is there is a row."""
     if columns is None:
@@ -92,14 +100,34 @@ def resolve_symbols(available: DataFrame, wanted: list[str] | str, ranked: list[
     return (rows.where(F.col("k") <= int(top[1])) if top else rows).select("symbol", "k")
 
 
+def read_text(path: str) -> str:
+    """A small whole file: by the session's file systems if there is a session, else from this machine."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def read_symbol_list(path: str) -> list[str]:
+    """The entries of a list file, one a line; what follows # is a comment."""
+    lines = (line.split("#", 1)[0].strip() for line in read_text(path).splitlines())
+    return [line for line in lines if line]
+
+
+def fix_constituents(rows: DataFrame, today: str) -> DataFrame:
+    """Constituents (symbol, start, end): the latest end date becomes ``today``; by end and start descending, then symbol."""
+    latest = rows.agg(F.max("end").alias("latest")).first()[0]
+    return rows.withColumn("end", F.when(F.col("end") == F.lit(latest), F.lit(today)).otherwise(F.col("end"))).orderBy(F.col("end").desc(), F.col("start").desc(), "symbol")
+
+
 def read_factors(path: str) -> list[tuple[str, float]]:
     """(expression, weight) of a factor file: JSON with exprs or factors and weights, or CSV with exprs, weight."""
     if path.endswith(".csv"):
-        rows = pd.read_csv(path)
+        rows = pd.read_csv(io.StringIO(read_text(path)))
         rows = rows[rows["exprs"].notna() & (rows["exprs"] != "ensemble")]
         return [(str(e), float(w)) for e, w in zip(rows["exprs"], rows["weight"], strict=True)]
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    data = json.loads(read_text(path))
     exprs = data.get("exprs") or data.get("factors")
     weights = data.get("weights")
     if not exprs or (weights is not None and len(weights) != len(exprs)):
@@ -109,8 +137,7 @@ def read_factors(path: str) -> list[tuple[str, float]]:
 
 def read_weights(path: str) -> dict[str, float]:
     """Column weights of a JSON object; anything but numbers is refused."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    data = json.loads(read_text(path))
     if not isinstance(data, dict) or not data or not all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in data.values()):
         raise ValueError(f"{path}: column weights are needed")
     return {k: float(v) for k, v in data.items()}
@@ -121,12 +148,34 @@ def read_trials(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def write_table(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
+def write_table(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite", row_group_bytes: int = 128 << 20, dictionary: bool = True) -> None:
     """A zstd Parquet table, by symbol or not; published by the job's commit."""
-    w = df.write.mode(mode).option("compression", "zstd")
+    w = df.write.mode(mode).option("compression", "zstd").option("parquet.block.size", row_group_bytes).option("parquet.enable.dictionary", str(dictionary).lower())
     (w.partitionBy(by) if by else w).parquet(path)
 
 
+def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "append") -> None:
+    """CSV with a header; new rows come in files of their own, which the job's commit publishes all at once."""
+    w = df.write.mode(mode).option("header", True)
+    (w.partitionBy(by) if by else w).csv(path)
+
+
+def drop_columns(spark: SparkSession, path: str, out: str, names: list[str]) -> None:
+    """A Parquet table without some columns, at a new place; names that it lacks don't matter."""
+    write_table(spark.read.parquet(path).drop(*names), out)
+
+
+def read_panel(spark: SparkSession, path: str, columns: list[str], time: str = "datetime") -> DataFrame:
+    """t, symbol and columns (doubles) of CSV files with a header, one symbol a file or a folder ``symbol=``; only these are parsed.
+
+    Without a symbol column, the file's name up to its first dot is the symbol. Rows without a time drop out; a column that no file has is NULL.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    symbol = F.col("symbol").cast("string") if "symbol" in raw.columns else F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1)
+    values = [(F.col(c).try_cast("double") if c in raw.columns else F.lit(None).cast("double")).alias(c) for c in columns]
+    return raw.select(timestamp(F.col(time)).alias("t"), symbol.alias("symbol"), *values).dropna(subset=["t"])
+
+
 # --- one little-endian float32 value column for each symbol and field: the first value is the start index
 
 

@@ -49,11 +49,22 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _substrings(codes: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, hash of each row's substrings of that length at every start)."""
+    """(length, rolling hash of each row's substrings of that length at every start)."""
     acc = np.zeros(codes.shape, np.uint64)
     for n in range(1, min(most, codes.shape[1]) + 1):
         acc = acc[:, : codes.shape[1] - n + 1] * _K + codes[:, n - 1 :] + np.uint64(1)
-        yield n, mix(acc + np.uint64(n))
+        yield n, acc
+
+
+def _place(hashes: np.ndarray) -> np.ndarray:
+    """20 bits of a hash: where a table of what may be there is asked first."""
+    return hashes * _K >> np.uint64(44)
+
+
+def _table(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 20, bool)
+    out[_place(hashes)] = True
+    return out
 
 
 class Codec:
@@ -75,12 +86,15 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for _, p, _ in plain):
             raise ValueError("a piece crosses a word's start")
         self.longest = max(len(p) for _, p, _ in plain)
-        keys = np.empty(len(plain), np.uint64)
+        rolled = np.empty(len(plain), np.uint64)
+        sizes = np.array([len(p) for _, p, _ in plain], np.uint64)
         for n in range(1, self.longest + 1):
             at = [k for k, (_, p, _) in enumerate(plain) if len(p) == n]
             if at:
                 codes = np.array([[ord(c) for c in plain[k][1]] for k in at], np.uint64)
-                keys[at] = [*_substrings(codes, n)][-1][1][:, 0]
+                rolled[at] = [*_substrings(codes, n)][-1][1][:, 0]
+        keys = mix(rolled + sizes)
+        self.probe = _table(rolled)
         order = np.argsort(keys)
         self.keys = keys[order]
         if (self.keys[1:] == self.keys[:-1]).any():
@@ -91,8 +105,6 @@ class Codec:
         self.merges = proto.trainer_spec.model_type == pb.TrainerSpec.BPE
         if self.merges:
             self._learn_merges({p: k for k, p, _ in plain}, {p: s for _, p, s in plain}, len(pieces))
-        self.probe = np.zeros(1 << 20, bool)
-        self.probe[self.keys >> np.uint64(44)] = True
         self.byte = np.array([k for k, (_, _, t) in enumerate(pieces) if t == _BYTE], np.int32)
         self.surface = [b"" if t == _CONTROL else b" \xe2\x81\x87 " if t == _UNKNOWN else bytes([int(p[1:-1], 16)]) if t == _BYTE else p.replace(MARK, " ").encode() for p, _, t in pieces]
         self.known: dict[str, bytes] = {}
@@ -120,6 +132,7 @@ class Codec:
         pair = one << 32 | two
         order_ = np.argsort(pair)
         self.pair, self.pair_rank = pair[order_], self.rank[whole][order_]
+        self.pair_probe = _table(self.pair.view(np.uint64))
         self.left, self.right = left, right
         reached = self.rank < 0
         for _, parts in sorted(by_length.items()):
@@ -146,9 +159,11 @@ class Codec:
         at, a, b, limit = np.arange(len(one)), one, two, np.full(len(one), np.iinfo(np.int64).max)
         while len(at):
             if not made:
-                pair = a << 32 | b
-                k = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1) if len(self.pair) else np.zeros(len(pair), np.int64)
-                bad = (self.pair[k] == pair) & (self.pair_rank[k] < limit) if len(self.pair) else np.zeros(len(pair), bool)
+                pair, bad = a << 32 | b, np.zeros(len(at), bool)
+                asked = np.flatnonzero(self.pair_probe[_place(pair.view(np.uint64))])
+                if len(asked):
+                    k = np.minimum(np.searchsorted(self.pair, pair[asked]), len(self.pair) - 1)
+                    bad[asked] = (self.pair[k] == pair[asked]) & (self.pair_rank[k] < limit[asked])
                 out[at[bad]] = False
             else:
                 bad, made = np.zeros(len(at), bool), False
@@ -170,8 +185,8 @@ class Codec:
         m, length = codes.shape
         found = []
         for n, h in _substrings(codes, self.longest):
-            r, at = np.nonzero(self.probe[h >> np.uint64(44)])
-            key = h[r, at]
+            r, at = np.nonzero(self.probe[_place(h)])
+            key = mix(h[r, at] + np.uint64(n))
             k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[k] == key
             found.append((at[hit] + n, r[hit], np.full(int(hit.sum()), n), self.ids[k[hit]].astype(np.int64), self.scores[k[hit]]))
@@ -191,17 +206,18 @@ class Codec:
         for e in range(1, length + 1):
             a, b = cut[e - 1], cut[e]
             r, n, p = row[a:b], size[a:b], piece[a:b]
-            value = np.full((self.longest + 1, m), -np.inf)
             if self.merges:
                 before = state[e - n, r]
                 fits = (e == n) | (before >= 0)
                 ask = np.flatnonzero(before >= 0)
                 fits[ask] = self._apart(before[ask], number[a:b][ask])
-                value[self.longest - n[fits], r[fits]] = 0
+                value = np.zeros((m, self.longest + 1), bool)
+                value[r[fits], self.longest - n[fits]] = True
             else:
-                value[self.longest - n, r] = best[e - n, r] + score[a:b]
-            top = value.argmax(0)  # of equals the longest
-            best[e], back[e] = value[top, every], self.longest - top
+                value = np.full((m, self.longest + 1), -np.inf)
+                value[r, self.longest - n] = best[e - n, r] + score[a:b]
+            top = value.argmax(1)  # of equals the longest
+            best[e], back[e] = value[every, top], self.longest - top
             won = back[e, r] == n
             last[e, r[won]] = p[won]
             state[e, r[won]] = number[a:b][won]

@@ -200,14 +200,20 @@ def _probe(data: bytes | None) -> dict:
         track = next((t for t in found if t.handler == "vide"), found[0] if found else None)
         if track is None:
             raise MediaError("no track")
-        at, size = keyframes(track)
-        out |= {"codec": track.codec, "duration": track.duration / track.timescale if track.timescale else None, "width": track.width, "height": track.height, "n_samples": len(track.tables.get("stsz", ()))}
-        out["keyframes"] = [{"begin": a, "size": s} for a, s in zip(at.tolist(), size.tolist(), strict=True)]
+        out |= _described(track)
     except MediaError as e:
         out["error"] = str(e)
     return out
 
 
+def _described(track: Track) -> dict:
+    at, size = keyframes(track)
+    return {
+        "codec": track.codec, "duration": track.duration / track.timescale if track.timescale else None, "width": track.width, "height": track.height,
+        "n_samples": len(track.tables.get("stsz", ())), "keyframes": [{"begin": a, "size": s} for a, s in zip(at.tolist(), size.tolist(), strict=True)],
+    }
+
+
 def probe(rows: DataFrame, column: str = "media") -> DataFrame:
     """Append codec, duration (seconds), width, height, n_samples, keyframes and error to rows with a media column.
 
@@ -245,23 +251,29 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "doc_id long, n_bytes long, media binary")
 
 
+COLUMNS = "codec string, duration double, keyframes array<struct<begin: long, size: long>>"
+
+
 def read_back(stored: DataFrame) -> DataFrame:
-    """Digests of what stored media files hold, read through their sample tables, and a line of features."""
+    """Digests of what stored media files hold, read through their sample tables, a line of features, codec, duration and keyframe byte ranges."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = pa.list_(pa.struct([("begin", pa.int64()), ("size", pa.int64())]))
+        kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "codec": pa.string(), "duration": pa.float64(), "keyframes": ranges}
         for b in batches:
             rows = []
             for data in b.column("media").to_pylist():
                 (track,) = tracks(data)
-                payload, (at, size) = samples(data, track), keyframes(track)
-                seconds = f"{track.duration / track.timescale:.2f}" if track.timescale else "-"
-                feature = f"{track.codec.strip()} {track.width}x{track.height} {seconds}s samples={len(track.tables['stsz'])} keyframes={len(at)} first={at[0]}+{size[0]} last={at[-1]}+{size[-1]}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            cols = [*zip(*rows, strict=True)] or [()] * 6
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *map(pa.array, cols, kinds)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.mapInArrow(of, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                payload, seen = samples(data, track), _described(track)
+                keys = seen["keyframes"]
+                seconds = "-" if seen["duration"] is None else f"{seen['duration']:.2f}"
+                ends = " ".join(f"{n}={k['begin']}+{k['size']}" for n, k in (("first", keys[0]), ("last", keys[-1])))
+                feature = f"{track.codec.strip()} {track.width}x{track.height} {seconds}s samples={seen['n_samples']} keyframes={len(keys)} {ends}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, track.codec, seen["duration"], keys))
+            cols = [*zip(*rows, strict=True)] or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *map(pa.array, cols, kinds.values())], ["doc_id", "n_bytes", *kinds])
+
+    return stored.mapInArrow(of, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, " + COLUMNS)
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,7 @@ def test_query_rows(spark):
         padded = raw.ljust(max(192, -(-len(raw) // 192) * 192))
         assert (got[i].n_bytes, got[i].payload_bytes) == (len(raw), len(padded))
         assert got[i].payload_sha256 == hashlib.sha256(padded).hexdigest() and got[i].tail_crc32 == zlib.crc32(padded[-16:])
+    assert {r.codec for r in got.values()} == {"raw "} and got[5].keyframes[1].begin > got[5].keyframes[0].begin and got[5].duration > got[2].duration > 0
     assert got[2][1:] == got[6][1:] and got[0][1:] == got[1][1:]
     assert media.media_round_trip(docs.limit(0)).collect() == []
     seen = media.probe(spark.createDataFrame([(1, media.build(bytes(192))), (2, None), (3, b"junk")], "k int, media binary")).orderBy("k").collect()

@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import discard, join_hubs, materialize
 
 
+#: Edge tables of fewer rows are joined by plain joins: one node has no more of them than a task can take.
+PLAIN = 1 << 20
+
+
+def _joined(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    return edges.join(least.drop("n"), "u") if n < PLAIN else join_hubs(edges, materialize(least, "least"), ["u"], n)
+
+
 def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return join_hubs(both, least, ["u"], 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _joined(both, least, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame, n: int) -> DataFrame:
     least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = join_hubs(e, least, ["u"], n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _joined(e, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -28,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of an edge table (u, v): the component's smallest node.
 
     Every step keeps at most one row for each edge; aggregates combine before they are shuffled, and
-    the edges of a node with very many are joined in place. Each round is written to the shared folder
+    in large tables the edges of a node with very many are joined in place. Each round is written to the shared folder
     (the one before is deleted), so a lost executor costs one round at most. Self-loops and repeated
     edges do no harm; an empty table gives an empty table. The result is a written table.
     """
@@ -36,10 +44,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(e, "edges")
     before = _mark(e)
     while True:
-        starred = materialize(_large_star(e, before[0]).distinct(), "stars")
-        new = materialize(_small_star(starred, max(1, before[0])).distinct(), "edges")
+        new = materialize(_small_star(_large_star(e, before[0]).distinct(), before[0]).distinct(), "edges")
         now = _mark(new)
-        discard(starred, e)
+        discard(e)
         e = new
         if now == before:
             break

@@ -4,6 +4,9 @@ A document is the set of its distinct 5-word shingles. Two sets with similarity
 share a token among the first ``n - ceil(n*num/den) + 1`` of any common token order (the prefix),
 and ``c`` tokens among the first ``n - ceil(n*num/den) + c``.
 
+The prefixes are a little longer than that: two larger sets must share ``COMMON`` tokens of them before
+they are looked at, which chance hardly gives.
+
 * Small (light) sets enumerate all 2-subsets of their longer prefix and meet in buckets of equal subsets.
 * Large (heavy) sets, and the small ones that can still reach them, scan inverted lists of prefix tokens.
 * The boundary is the size at which enumerating costs more than scanning, from the corpus's mean list length.
@@ -11,7 +14,7 @@ and ``c`` tokens among the first ``n - ceil(n*num/den) + c``.
 The common order puts frequent tokens last. Their counts come from a pass over every shingle of the
 corpus; how many of the most frequent ones are kept is bounded (``HOT_TOKENS``), which only affects
 speed. Within a list of many sets, each set is first held against the smallest one. What those
-links don't join is held against the rest by bitmaps, which bound the overlap from above, in cells
+links don't join (or what shares too few tokens in shorter lists, but some long one) is held against the rest by bitmaps, which bound the overlap from above, in cells
 of bounded size: all pairs that are left between components or, where these are many, first as few
 as could join the sets and then what is still left. So a group of near copies costs a link for each member and not one for each pair, and no
 link that would join two components is lost.
@@ -20,7 +23,6 @@ link that would join two components is lost.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,9 +40,11 @@ HOT_TOKENS = 1 << 18
 #: Bits of a set's bitmap at most.
 BITMAP_MOST = 1 << 16
 #: Lists of up to so many sets are expanded into all their pairs at once.
-SMALL_LIST = 3
+SMALL_LIST = 8
+#: Tokens of their prefixes that two larger sets must have in common to be looked at (or all that a link needs).
+COMMON = 3
 #: A longer list is dealt to blocks of about so many sets.
-BLOCK = 1_000
+BLOCK = 500
 #: Pairs of one text side that one task verifies before the side is dealt to several.
 HOT_SIDE = 2_000
 #: Text whose tokens one task counts or lists at once, and tokens that a mapper holds before it sends them.
@@ -87,9 +91,13 @@ class _Rule:
         """Tokens to look at so that partners of any size share ``c`` of them."""
         return np.minimum(n, n - _ceil(n, self.num, self.den) + c)
 
-    def index(self, n):
+    def index(self, n, c: int = 1):
         """The same for partners that are no smaller."""
-        return n - _ceil(n, 2 * self.num, self.num + self.den) + 1
+        return np.minimum(n, n - _ceil(n, 2 * self.num, self.num + self.den) + c)
+
+    def need(self, a, b, c: int):
+        """Tokens that links between sets of these sizes have in common in their prefixes for ``c``."""
+        return np.minimum(c, _ceil(a + b, self.num, self.num + self.den))
 
     def sizes(self, a, b):
         return np.minimum(a, b) * self.den >= np.maximum(a, b) * self.num
@@ -189,7 +197,7 @@ def _prefixes(docs: DataFrame, rule: _Rule, hot) -> DataFrame:
                     if len(s):
                         freq = _lookup(fps, counts, bits, s)
                         first = s[np.argsort(freq, kind="stable")] if freq.any() else s
-                        blob.append(first[: rule.prefix(len(s), 2)].tobytes())
+                        blob.append(first[: rule.prefix(len(s), max(2, COMMON))].tobytes())
                     else:
                         blob.append(None)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[part], pa.int64()), "n": pa.array(size, pa.int64()), "digest": pa.array(digest, pa.binary()), "blob": pa.array(blob, pa.binary()), "bits": pa.array(bits_, pa.binary())})
@@ -232,7 +240,7 @@ def _postings(sets: DataFrame, rule: _Rule, light: int, hot, ranges: int) -> Dat
             for rep, n, blob in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 tokens = np.frombuffer(blob, np.uint64)
                 if n > light or n * rule.den >= (light + 1) * rule.num:
-                    p, i = int(rule.prefix(n)), int(rule.index(n))
+                    p, i = int(rule.prefix(n, COMMON)), int(rule.index(n, COMMON))
                     info = np.full(p, n * 4 + (n > light), np.int64)
                     info[:i] += 2
                     rows.append((tokens[:p], np.full(p, rep, np.int64), info))
@@ -259,7 +267,9 @@ def _may(rule: _Rule, a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarr
     return rule.sizes(na, nb) & ((ia | ib) & 1 > 0) & index & (a != b)
 
 
-def _candidates(rule: _Rule, hot):
+def _candidates(rule: _Rule, hot, light: int):
+    """Pairs (token 0, x, y, how often, how often is enough) of a range's lists, and the members of long lists (y: info, 0, 0)."""
+
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, counts, bits = hot.value
         token, rep, info = join_packed(pdf["blob"])
@@ -268,25 +278,42 @@ def _candidates(rule: _Rule, hot):
         at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         size = np.diff(np.append(at, len(token)))
         split = _lookup(fps, counts, bits, token[at]) > BLOCK
-        xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        found = [np.empty((4, 0), np.int64)]
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> None:
+            found.append(np.stack((rep[a], rep[b], info[a] >> 2, info[b] >> 2)))
+
         for m in range(2, SMALL_LIST + 1):
             begin = at[(size == m) & ~split]
             for i in range(m):
                 for j in range(i + 1, m):
                     a, b = begin + i, begin + j
                     ok = _may(rule, rep[a], info[a], rep[b], info[b])
-                    xs.append(rep[a[ok]])
-                    ys.append(rep[b[ok]])
-        large = np.repeat((size > SMALL_LIST) | split, size)
+                    pairs(a[ok], b[ok])
+        large = np.flatnonzero(np.repeat((size > SMALL_LIST) | split, size))
         center = np.repeat(at, size)[large]
-        token, rep_l, info_l = token[large], rep[large], info[large]
-        ok = rule.sizes(info[center] >> 2, info_l >> 2) & (rep[center] != rep_l)
-        xs.append(rep[center[ok]])
-        ys.append(rep_l[ok])
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
-        pad = len(pairs[0])
-        return frame({"token": np.append(np.zeros(pad, np.int64), token.view(np.int64)), "x": np.append(pairs[0], rep_l), "y": np.append(pairs[1], info_l), "list": np.append(np.zeros(pad, bool), np.ones(len(token), bool))}, ["token", "x", "y", "list"])
+        ok = rule.sizes(info[center] >> 2, info[large] >> 2) & (rep[center] != rep[large])
+        pairs(center[ok], large[ok])
+        x, y, n, m = np.concatenate(found, axis=1)
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        enough = np.where(np.minimum(n, m) <= light, 1, rule.need(n, m, COMMON))
+        order = np.lexsort((y, x))
+        x, y, enough = x[order], y[order], enough[order]
+        first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.empty(0, np.int64)
+        often = np.diff(np.append(first, len(x)))
+        # of a long list, the members that another one is near enough in size
+        large = large[np.lexsort((info[large] >> 2, token[large]))]
+        near = (token[large][1:] == token[large][:-1]) & rule.sizes(info[large][1:] >> 2, info[large][:-1] >> 2) if len(large) else np.empty(0, bool)
+        keep = np.concatenate(([False], near)) | np.concatenate((near, [False])) if len(large) else near
+        large = large[keep | np.repeat(split, size)[large]]
+        none = np.zeros(len(large), np.int64)
+        return frame(
+            {
+                "token": np.append(np.zeros(len(first), np.int64), token[large].view(np.int64)), "x": np.append(x[first], rep[large]), "y": np.append(y[first], info[large]),
+                "often": np.append(often, none), "enough": np.append(enough[first], none), "list": np.append(np.zeros(len(first), bool), np.ones(len(large), bool)),
+            },
+            ["token", "x", "y", "often", "enough", "list"],
+        )
 
     return of
 
@@ -457,14 +484,15 @@ def _near_duplicates(docs: DataFrame, rule: _Rule) -> DataFrame:
     light = _boundary(rule, others)
     ranges = max(12, n_bytes // RANGE_BYTES)
     lists = _postings(reps.select("rep", "n", "blob"), rule, light, hot, ranges)
-    found = materialize(lists.groupBy("r").applyInPandas(_candidates(rule, hot), "token long, x long, y long, list boolean"), "lists")
+    found = materialize(lists.groupBy("r").applyInPandas(_candidates(rule, hot, light), "token long, x long, y long, often long, enough long, list boolean"), "lists")
 
-    tried = materialize(found.where("not list").select("x", "y").distinct(), "pairs")
-    links = [materialize(_verified(docs, tried, rule), "links")]
-    comp = components(links[0])
+    seen = found.where("not list").groupBy("x", "y").agg(F.sum("often").alias("often"), F.min("enough").alias("enough"))
+    tried = materialize(seen.where("often >= enough").select("x", "y"), "pairs")
+    links = materialize(_verified(docs, tried, rule), "links")
+    comp = components(links)
 
     lists = found.where("list").select("token", "x", F.col("y").alias("info"))
-    done, centers = [found, tried], None
+    done, centers = [found, tried, links], None
     for whole in (False, True):
         cells, sets = _open_groups(lists, comp, own, centers)
         todo = cells.groupBy("center", "chunk", "block").applyInArrow(_remaining(rule, whole), "x long, y long")
@@ -473,13 +501,13 @@ def _near_duplicates(docs: DataFrame, rule: _Rule) -> DataFrame:
         done += [sets, todo, rest]
         if not rest.isEmpty():
             tried = tried.unionByName(rest)
-            links.append(materialize(_verified(docs, rest, rule), "links"))
-            discard(comp)
-            comp = components(reduce(DataFrame.unionByName, links))
+            links = materialize(_verified(docs, rest, rule), "links")
+            done += [links, comp]
+            comp = components(links.unionByName(comp.select(F.col("node").alias("u"), F.col("component").alias("v"))))
         centers = todo.where("y is null").select(F.col("x").alias("center")).distinct()
         if centers.isEmpty():
             break
-    discard(*done, *links)
+    discard(*done)
     hot.unpersist()
 
     member = own.where("n > 0").select("doc_id", "n", "digest")

@@ -50,8 +50,11 @@ def corpus(seed, n=140):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \t\n"), (n + 3, "One\x0btwo THREE"), (n + 4, "one two three"), (n + 5, "É é"), (n + 6, "é é"), (n + 7, "z " * 30000), (n + 8, "z " * 29000)]
 
 
-@pytest.mark.parametrize(("seed", "small", "hot", "block"), [(1, 3, 1 << 18, 20000), (2, 1, 64, 20000), (3, 2, 1 << 18, 7)])
-def test_matches_brute_force(spark, monkeypatch, seed, small, hot, block):
+@pytest.mark.parametrize(("seed", "small", "hot", "block", "plain"), [(1, 3, 1 << 18, 20000, 1 << 20), (2, 1, 64, 20000, 0), (3, 2, 1 << 18, 7, 1 << 20), (4, 8, 1 << 18, 500, 1 << 20)])
+def test_matches_brute_force(spark, monkeypatch, seed, small, hot, block, plain):
+    from quantloom.llm import components
+
+    monkeypatch.setattr(components, "PLAIN", plain)
     for k, v in (("SMALL_LIST", small), ("HOT_TOKENS", hot), ("BLOCK", block)):
         monkeypatch.setattr(nj, k, v)
     rows = corpus(seed)
@@ -72,6 +75,7 @@ def test_prefixes_are_long_enough():
                 continue
             need = -(-4 * (n + m) // 9)
             assert m - need + 1 <= rule.prefix(m) and n - need + 1 <= rule.index(n)
+            assert min(m, m - need + 3) <= rule.prefix(m, 3) and min(n, n - need + 3) <= rule.index(n, 3) and rule.need(n, m, 3) == min(3, need)
             assert n - need + 2 <= n - (-(-n * 4 // 5)) + 2
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import join_hubs, let, materialize, quoted
+from quantloom.llm.common import discard, join_hubs, let, materialize, quoted
 
 SPACES = " \t\n\x0b\f\r"
 #: A repeated run counts from so many words on.
@@ -70,12 +70,15 @@ def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, no: the lines that lie in a run of consecutive lines, of ``min_words`` words or more, that also starts earlier."""
-    levels = [materialize(_named(_lines(docs, min_words), ["a", "b"]).select("doc", "k", "no", "ahead", "back", "first").distinct(), "lines")]
+    rows = materialize(_lines(docs, min_words), "lines")
+    levels = [materialize(_named(rows, ["a", "b"]).select("doc", "k", "no", "ahead", "back", "first").distinct(), "lines")]
+    discard(rows)
     while 1 << len(levels) <= min_words:
         beside = Window.partitionBy("doc").orderBy("k").rangeBetween(1 << (len(levels) - 1), 1 << (len(levels) - 1))
         pairs = levels[-1].select("doc", "k", "first", F.first("first").over(beside).alias("second")).where("second is not null")
         pairs = materialize(pairs.withColumnRenamed("first", "one"), "pairs")
         levels.append(materialize(_named(pairs, ["one", "second"]).select("doc", "k", "first"), "lines"))
+        discard(pairs)
 
     later = F.col("first") != F.struct("doc", "k")
     single = levels[0].where((F.col("ahead") == 1) & later).select("doc", "k", F.col("k").alias("last"))

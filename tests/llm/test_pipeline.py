@@ -84,3 +84,16 @@ def test_null_ids_stay(spark, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     rows = [(None, "the ering onat"), (None, "the ering onat"), (5, "the ering onat erly")]
     assert len(stage(spark, table(spark, rows), "").collect()) == 3
+
+
+def test_stages_keep_odd_columns_and_repeated_rows(spark):
+    passage = "the ering onat erly thing reat ious is erat theis onous anly " * 3
+    rows = [(1, passage + "\nown a one", 1, "x", 3), (2, "else reat " + passage, 2, "y", 4), (2, "else reat " + passage, 2, "y", 4), (3, None, 3, "z", 5), (None, passage, 4, "w", 6)]
+    docs = spark.createDataFrame([(i, t, "en", k, v, n) for i, t, k, v, n in rows], "doc_id long, text string, lang string, n_deleted int, `a.b` string, row int")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = sorted((str(r.doc_id), r.n_deleted, r["a.b"], r["row"]) for r in out.collect())
+        assert got == sorted((str(i), k, v, n) for i, _, k, v, n in rows), name
+    texts = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.passages(spark, docs, "").collect())
+    assert [t for i, t in texts if i == "2"] == ["else reat"] * 2 and [t for i, t in texts if i == "None"] == [passage]

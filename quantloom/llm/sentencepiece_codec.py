@@ -1,10 +1,13 @@
 """SentencePiece encoding and decoding by a batched NumPy Viterbi search.
 
 A text is cut where a run of word-start marks begins; no piece of a model crosses such a place, so
-words are segmented by themselves, and each distinct one once. Words of equal length advance
-together: hashes of all their substrings probe the sorted piece keys, and at each place one
-vectorised maximum over the lengths of the last piece stores the back pointers. Characters without
-a piece are spelled in byte pieces.
+words are segmented by themselves, and each distinct one once. A new word is cut again between any
+two characters that are side by side in no piece: neither a piece nor a merge reaches across, so the
+parts (a word, its full stop, a line break, the next word) have the ids they have alone, and far
+fewer of them are distinct. Parts of equal length (long ones: of similar length, filled up at the end,
+which no prefix sees) advance together: hashes of all their substrings probe the table of piece keys,
+and at each place one vectorised maximum over the lengths of the last piece stores the back pointers.
+Characters without a piece are spelled in byte pieces.
 
 What the maximum is taken of depends on the model. Unigram: the sum of scores; ties go to the
 longer last piece. Merges (BPE): whether the last piece may follow the one before it. A sequence of
@@ -25,9 +28,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +41,14 @@ from quantloom.llm.common import chunks, mix, strings
 MARK = "▁"
 #: What the library takes off the lowest score for a character without a piece.
 UNKNOWN_PENALTY = 10.0
-#: Distinct words that are remembered: those of the present batch and of batches before it, by turns.
+#: Distinct parts that are remembered: those of the present batch and of batches before it, by turns.
 WORDS_KEPT = 150_000
 #: Places (words by length) that one search holds.
 CELLS = 1 << 16
 #: Words over this length are cut into windows, which overlap by so many characters.
 WINDOW, OVERLAP = 2048, 128
+#: Characters of new words that are cut into parts at a time; a very long word has a cut in so many characters at most.
+BLOCK, CELL = 1 << 18, 256
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 #: Ids from here on are lone characters without a piece.
 _LONE = 1 << 24
@@ -67,6 +74,26 @@ def _table(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Index:
+    """Distinct keys in the order of ``keys * _K``, found by where the keys of a place begin; a few by bisection."""
+
+    def __init__(self, keys: np.ndarray):
+        count = np.bincount(_place(keys).astype(np.int64), minlength=1 << 20)
+        self.order, self.begin, self.most = keys * _K, (np.cumsum(count) - count).astype(np.int32), int(count.max())
+
+    def find(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each key would be, whether it is there)."""
+        asked, end = asked * _K, len(self.order) - 1
+        few = len(asked) < 500
+        k = np.minimum(np.searchsorted(self.order, asked) if few else self.begin[asked >> np.uint64(44)], end)
+        hit = self.order[k] == asked
+        for _ in range(1, 1 if few else self.most):
+            rest = np.flatnonzero(~hit)
+            k[rest] = np.minimum(k[rest] + 1, end)
+            hit[rest] = self.order[k[rest]] == asked[rest]
+        return k, hit
+
+
 class Codec:
     """A SentencePiece model (identity normalisation, dummy prefix, byte fallback) and the words seen so far."""
 
@@ -95,7 +122,8 @@ class Codec:
                 rolled[at] = [*_substrings(codes, n)][-1][1][:, 0]
         keys = mix(rolled + sizes)
         self.probe = _table(rolled)
-        order = np.argsort(keys)
+        self.beside = _table(np.array([ord(a) << 21 | ord(b) for a, b in {x for _, p, _ in plain for x in pairwise(p)}], np.uint64))
+        order = np.argsort(keys * _K)
         self.keys = keys[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one key")
@@ -105,8 +133,10 @@ class Codec:
         self.merges = proto.trainer_spec.model_type == pb.TrainerSpec.BPE
         if self.merges:
             self._learn_merges({p: k for k, p, _ in plain}, {p: s for _, p, s in plain}, len(pieces))
+        self.index = _Index(self.keys)
         self.byte = np.array([k for k, (_, _, t) in enumerate(pieces) if t == _BYTE], np.int32)
         self.surface = [b"" if t == _CONTROL else b" \xe2\x81\x87 " if t == _UNKNOWN else bytes([int(p[1:-1], 16)]) if t == _BYTE else p.replace(MARK, " ").encode() for p, _, t in pieces]
+        self.surfaces = pa.array(self.surface, pa.binary())
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
@@ -129,10 +159,10 @@ class Codec:
                 made += parts
                 by_length.setdefault(len(p), []).extend(parts)
         whole, one, two = np.array(made, np.int64).reshape(-1, 3).T
-        pair = one << 32 | two
-        order_ = np.argsort(pair)
-        self.pair, self.pair_rank = pair[order_], self.rank[whole][order_]
-        self.pair_probe = _table(self.pair.view(np.uint64))
+        pair = (one << 32 | two).view(np.uint64)
+        order_ = np.argsort(pair * _K)
+        self.pair, self.pair_rank = _Index(pair[order_]), self.rank[whole][order_]
+        self.pair_probe = _table(pair)
         self.left, self.right = left, right
         reached = self.rank < 0
         for _, parts in sorted(by_length.items()):
@@ -159,11 +189,11 @@ class Codec:
         at, a, b, limit = np.arange(len(one)), one, two, np.full(len(one), np.iinfo(np.int64).max)
         while len(at):
             if not made:
-                pair, bad = a << 32 | b, np.zeros(len(at), bool)
-                asked = np.flatnonzero(self.pair_probe[_place(pair.view(np.uint64))])
+                pair, bad = (a << 32 | b).view(np.uint64), np.zeros(len(at), bool)
+                asked = np.flatnonzero(self.pair_probe[_place(pair)])
                 if len(asked):
-                    k = np.minimum(np.searchsorted(self.pair, pair[asked]), len(self.pair) - 1)
-                    bad[asked] = (self.pair[k] == pair[asked]) & (self.pair_rank[k] < limit[asked])
+                    k, hit = self.pair.find(pair[asked])
+                    bad[asked] = hit & (self.pair_rank[k] < limit[asked])
                 out[at[bad]] = False
             else:
                 bad, made = np.zeros(len(at), bool), False
@@ -176,9 +206,12 @@ class Codec:
         return out
 
     def _search(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length."""
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(words), -1)
-        return self._ids(codes, *self._advance(codes))
+        """Ids of words of about one length."""
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max())
+        text = "".join(words if sizes.min() == width else [w.ljust(width, "\0") for w in words])
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(words), -1)
+        return self._ids(sizes, *self._advance(codes))
 
     def _advance(self, codes: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The last piece of each row's prefixes, and its length. ``start``: the last pieces (-1: none) that are known already."""
@@ -186,9 +219,7 @@ class Codec:
         found = []
         for n, h in _substrings(codes, self.longest):
             r, at = np.nonzero(self.probe[_place(h)])
-            key = mix(h[r, at] + np.uint64(n))
-            k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[k] == key
+            k, hit = self.index.find(mix(h[r, at] + np.uint64(n)))
             found.append((at[hit] + n, r[hit], np.full(int(hit.sum()), n), self.ids[k[hit]].astype(np.int64), self.scores[k[hit]]))
             if n == 1:
                 alone = np.ones((m, length), bool)
@@ -196,40 +227,42 @@ class Codec:
                 r, at = np.nonzero(alone)
                 found.append((at + 1, r, np.ones(len(r), np.int64), codes[r, at].astype(np.int64) + _LONE, np.full(len(r), self.unknown)))
         end, row, size, piece, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        if length < 1 << 16:
+            end = end.astype(np.uint16)  # sorted by digits
         order = np.argsort(end, kind="stable")
         row, size, piece, score = row[order], size[order], piece[order], score[order]
         cut = np.searchsorted(end[order], np.arange(1, length + 2)).tolist()
-        last, back, best = np.full((length + 1, m), -1, np.int64), np.zeros((length + 1, m), np.int32), np.zeros((length + 1, m))
+        last, back = np.full((length + 1, m), -1, np.int64), np.zeros((length + 1, m), np.int32)
+        best = None if self.merges else np.zeros((length + 1, m))
         number = self._number(piece) if self.merges else piece
         state = np.full((length + 1, m), -1, np.int64)
         every = np.arange(m)
         for e in range(1, length + 1):
             a, b = cut[e - 1], cut[e]
-            r, n, p = row[a:b], size[a:b], piece[a:b]
+            r, n, p, q = row[a:b], size[a:b], piece[a:b], number[a:b]
             if self.merges:
                 before = state[e - n, r]
-                fits = (e == n) | (before >= 0)
+                fits = e == n
                 ask = np.flatnonzero(before >= 0)
-                fits[ask] = self._apart(before[ask], number[a:b][ask])
-                value = np.zeros((m, self.longest + 1), bool)
-                value[r[fits], self.longest - n[fits]] = True
+                fits[ask] = self._apart(before[ask], q[ask])
+                won = np.flatnonzero(fits)  # one for each row
+                back[e, r[won]] = n[won]
             else:
                 value = np.full((m, self.longest + 1), -np.inf)
                 value[r, self.longest - n] = best[e - n, r] + score[a:b]
-            top = value.argmax(1)  # of equals the longest
-            best[e], back[e] = value[every, top], self.longest - top
-            won = back[e, r] == n
-            last[e, r[won]] = p[won]
-            state[e, r[won]] = number[a:b][won]
+                top = value.argmax(1)  # of equals the longest
+                best[e], back[e] = value[every, top], self.longest - top
+                won = np.flatnonzero(back[e, r] == n)
+            last[e, r[won]], state[e, r[won]] = p[won], q[won]
             if start is not None and e < start.shape[0]:
                 known = start[e] >= 0
                 last[e, known], state[e, known] = start[e, known], self._number(start[e, known])
         return last, back
 
-    def _ids(self, codes: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
-        """Rows' ids, by the back pointers of all rows at once."""
-        m, length = codes.shape
-        out, at, rows = np.zeros((m, length), np.int64), np.full(m, length), np.arange(m)
+    def _ids(self, sizes: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
+        """Ids of the rows' prefixes of these sizes, by the back pointers of all rows at once."""
+        m, length = len(sizes), int(sizes.max())
+        out, at, rows = np.zeros((m, length), np.int64), sizes.copy(), np.arange(m)
         width = np.zeros(m, np.int64)
         while len(rows):
             end = at[rows]
@@ -238,7 +271,8 @@ class Codec:
             at[rows] = end - back[end, rows]
             rows = rows[at[rows] > 0]
         alone = (out >= _LONE).any(1)
-        return [self._spelled(x[length - n :]) if lone else x[length - n :].astype("<i4") for x, n, lone in zip(out, width.tolist(), alone.tolist(), strict=True)]
+        out = out.astype("<i4")
+        return [self._spelled(x[length - n :]) if lone else x[length - n :] for x, n, lone in zip(out, width.tolist(), alone.tolist(), strict=True)]
 
     def _spelled(self, pieces: np.ndarray) -> np.ndarray:
         """Ids, with characters without a piece in byte pieces."""
@@ -293,13 +327,55 @@ class Codec:
             at -= int(back[at - 1])
         return self._spelled(np.array(parts[::-1], np.int64))
 
-    def learn(self, words: Iterable[str]) -> None:
+    def _begins(self, text: str, sizes: list[int]) -> np.ndarray:
+        """Where the parts of words begin that are joined in ``text``, and its end."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        cut = np.concatenate(([False], ~self.beside[_place(codes[:-1] << np.uint64(21) | codes[1:])], [True]))
+        ends = np.cumsum(sizes)
+        for k in np.flatnonzero(np.array(sizes) > WINDOW):  # a bounded number of parts
+            own = cut[ends[k] - sizes[k] : ends[k]]
+            at = np.flatnonzero(own)
+            own[at[1:][at[1:] // CELL == at[:-1] // CELL]] = False
+            if np.diff(np.flatnonzero(own), prepend=0, append=len(own)).max() > WINDOW:
+                own[:] = False  # windows of one long word advance together
+        cut[ends - sizes] = True
+        return np.flatnonzero(cut).astype(np.int32)
+
+    def _missing(self, words: set[str]) -> set[str]:
+        """Words that have to be searched; those of batches before are known again."""
+        words = words.difference(self.known)
+        again = words.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        return words - again
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of distinct words. Only parts are remembered: a word of several is soon put together again."""
+        new, parts, blocks = list(self._missing(words)), set(), []
+        sizes = [len(w) for w in new]
+        for own in chunks(sizes, BLOCK):
+            text = "".join(new[own])
+            begins = self._begins(text, sizes[own])
+            parts.update(text[a:b] for a, b in pairwise(begins.tolist()))
+            blocks.append((own, text, begins))
+        self._learn_parts(self._missing(parts))
+        ids, known = {}, self.known
+        for own, text, begins in blocks:
+            first = np.searchsorted(begins, np.concatenate(([0], np.cumsum(sizes[own]))))
+            several, at = np.flatnonzero(np.diff(first) > 1).tolist(), begins.tolist()
+            first = first.tolist()
+            for k in several:
+                ids[new[own.start + k]] = b"".join([known[text[a:b]] for a, b in pairwise(at[first[k] : first[k + 1] + 1])])
+        ids.update((w, known[w]) for w in words.difference(ids))
+        return ids
+
+    def _learn_parts(self, parts: Iterable[str]) -> None:
         by_length: dict[int, list[str]] = {}
-        for w in words:
+        for w in parts:
             if len(w) > WINDOW and self.merges:
                 self.known[w] = self._search_long(w).tobytes()
             else:
-                by_length.setdefault(len(w), []).append(w)
+                unit = 1 << max(0, len(w).bit_length() - 4) if len(w) > 64 else 1
+                by_length.setdefault(-(-len(w) // unit) * unit, []).append(w)
         for length, group in by_length.items():
             step = max(1, CELLS // length)
             for a in range(0, len(group), step):
@@ -312,17 +388,26 @@ class Codec:
         words = [self.cut(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > WORDS_KEPT:
             self.known, self.older = {}, self.known
-        new = {w for own in words for w in own}.difference(self.known)
-        for w in new.intersection(self.older):
-            self.known[w] = self.older[w]
-        self.learn(new.difference(self.known))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), "<i4") for own in words]
+        ids = self.learn(set(chain.from_iterable(words)))
+        return [np.frombuffer(b"".join(map(ids.__getitem__, own)), "<i4") for own in words]
 
     def decode(self, ids) -> str:
         """The text of ids: byte pieces in a row are UTF-8 (what isn't becomes U+FFFD), the dummy prefix goes."""
         raw = b"".join(map(self.surface.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
+    def decode_rows(self, lists: pa.ListArray) -> Iterator[str]:
+        """``decode`` of every row's ids, about a million pieces at a time; null ids have no text."""
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        ids, ends = lists.flatten(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        for part in chunks(sizes.tolist(), 1 << 20):
+            begin, end = ends[part.start], ends[part.stop]
+            taken = self.surfaces.take(ids.slice(begin, end - begin))
+            _, offsets, data = taken.buffers()
+            at = np.frombuffer(offsets, np.int32)[taken.offset :][ends[part.start : part.stop + 1] - begin].tolist() if end > begin else [0] * (part.stop - part.start + 1)
+            for a, b in pairwise(at):
+                yield data[a:b].to_pybytes().removeprefix(b" ").decode("utf-8", "replace") if b > a else ""
+
 
 @lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
@@ -340,7 +425,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         own = codec(model)
         for batch in batches:
             texts = strings(batch.column("text"))
-            for part in chunks([len(t) for t in texts], 4 << 20):
+            for part in chunks([len(t) for t in texts], 2 << 20):
                 found = own.encode(texts[part])
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, "<i4"), *found]).astype(np.int32)))
@@ -356,7 +441,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
         own = codec(model)
         for batch in batches:
             lists = batch.column("ids")
-            text = [own.decode(x.values.to_numpy()) if x.is_valid else None for x in lists]
+            text = [t if valid else None for t, valid in zip(own.decode_rows(lists), lists.is_valid().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": pa.array(text, pa.string())})
 
     return rows.select("doc_id", "ids").mapInArrow(of, "doc_id long, text string")
@@ -370,8 +455,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 
         own = codec(model)
         for batch in batches:
-            text = [own.decode(x.values.to_numpy()) for x in batch.column("ids")]
-            digest = [hashlib.sha256(t.encode()).hexdigest() for t in text]
+            digest = [hashlib.sha256(t.encode()).hexdigest() for t in own.decode_rows(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.string())], ["doc_id", "n_ids", "ids", "decoded_sha256"])
 
     return encode(docs, model).mapInArrow(of, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string")
